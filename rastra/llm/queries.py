@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastra.llm import decontaminate, ngram_join, packing, toxicity
+from rastra.llm import chat, decontaminate, ngram_join, packing, spotsigs, token_counts, toxicity
+from rastra.llm.common import join_hot, materialize, scratch
+from rastra.llm.sharding import ShardStore
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,25 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents arrive in four lots of unequal size, are compacted, and are read back by the last manifest."""
+    lot = F.floor(F.log2(F.pmod(F.xxhash64("doc_id"), F.lit(8)) + 1)).cast("int")
+    store = ShardStore(spark, scratch(spark, "shards"))
+    store.append_all(table(spark, sf_dir, "documents").withColumn("lot", F.coalesce(lot, F.lit(0))), "lot")
+    store.compact()
+    text = F.coalesce("text", F.lit(""))
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+
+
+OP2_SQL = """
+SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents
+"""
+
+
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.pack(table(spark, sf_dir, "documents"), word_tokenizer_path())
     return found.select(
@@ -36,6 +57,48 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after five batches over all documents, the last of which is delivered twice.
+
+    Inserts with an estimate of a token for four characters; revised counts; the
+    inserts of a second tokenizer version; deletes of repeated texts in both.
+    """
+    words, letters = "space-words-1", "letter-words-1"
+    text = F.coalesce("text", F.lit(""))
+    counts = materialize(
+        table(spark, sf_dir, "documents").select(
+            "doc_id", "source", "lang", F.floor(F.length(text) / 4).cast("long").alias("estimate"), F.sha2(text.cast("binary"), 256).alias("sha"),
+            token_counts.pattern_count(text, words).alias("words"), token_counts.pattern_count(text, letters).alias("letters"),
+        ),
+        "counts",
+    )
+    first = counts.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("met"))
+    repeated = join_hot(counts, first.filter("met > 1"), ["sha"], "met", counts.count()).filter("doc_id <> first")
+    col, kept = F.col, token_counts.TokenCounts(spark, scratch(spark, "token-counts"))
+    kept.apply("insert", token_counts.inserts(counts, words, col("estimate")))
+    kept.apply("revise", token_counts.revisions(counts, words, col("estimate"), col("words")))
+    kept.apply("insert-letters", token_counts.inserts(counts, letters, col("letters")))
+    gone = token_counts.deletes(repeated, words, col("words")).unionByName(token_counts.deletes(repeated, letters, col("letters")))
+    for _ in range(2):
+        kept.apply("delete-repeated", gone)
+    return kept.totals()
+
+
+OP5_SQL = r"""
+WITH first AS (
+  SELECT coalesce(text, '') AS text, source, lang, doc_id = min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept FROM documents
+), counted AS (
+  SELECT source, lang,
+    len(regexp_extract_all(text, '[^\x09-\x0D\x20]+')) AS words,
+    len(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS letters
+  FROM first WHERE kept
+)
+SELECT source, lang, 'space-words-1' AS tokenizer, count(*) AS n_docs, CAST(sum(words) AS BIGINT) AS n_tokens FROM counted GROUP BY 1, 2
+UNION ALL
+SELECT source, lang, 'letter-words-1', count(*), CAST(sum(letters) AS BIGINT) FROM counted GROUP BY 1, 2
+"""
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
@@ -53,12 +116,41 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+OP10_SQL = """
+WITH own AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+    coalesce(CAST(floor(turn / 256.0) AS BIGINT), 0) AS block
+  FROM conversations
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, block ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM own
+), speakers AS (
+  SELECT DISTINCT conv_id, role AS participant FROM own WHERE role <> 'system'
+), said AS (
+  SELECT m.conv_id, s.participant, m.block, CAST(floor((m.n - 1) / 256.0) AS BIGINT) AS part, m.n, m.text, m.role = s.participant AS own,
+    '<|im_start|>' || CASE WHEN m.role = s.participant THEN 'assistant' WHEN m.role = 'system' THEN 'system' ELSE 'user name=' || m.role END || chr(10) AS head
+  FROM numbered m JOIN speakers s ON m.conv_id IS NOT DISTINCT FROM s.conv_id
+)
+SELECT conv_id, participant, block, part, count(*) AS n_turns, CAST(sum(CASE WHEN own THEN 1 ELSE 0 END) AS BIGINT) AS n_own,
+  string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY n) AS rendered,
+  string_agg('0:' || length(head) || CASE WHEN own THEN ',1:' ELSE ',0:' END || (length(text) + 11), ',' ORDER BY n) AS mask
+FROM said GROUP BY conv_id, participant, block, part
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_sharding": op2_sharding,
+    "op3_spotsigs": op3_spotsigs,
     "op4_packing": op4_packing,
+    "op5_token_counts": op5_token_counts,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_toxicity": op7_toxicity,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op5_token_counts": OP5_SQL, "op10_chat_formatting": OP10_SQL}
