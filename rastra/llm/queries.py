@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastra.llm import chat, decontaminate, ngram_join, packing, spotsigs, token_counts, toxicity
+from rastra.llm import chat, decontaminate, ngram_join, packing, spotsigs, token_counts, toxicity, warc
 from rastra.llm.common import join_hot, materialize, scratch
 from rastra.llm.sharding import ShardStore
 
@@ -116,6 +116,23 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH told AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+), last AS (
+  SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) ELSE page_id END AS kept FROM told
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM last
+"""
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
@@ -149,8 +166,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_toxicity": op7_toxicity,
+    "op8_warc": op8_warc,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
-SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op5_token_counts": OP5_SQL, "op10_chat_formatting": OP10_SQL}
+SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op5_token_counts": OP5_SQL, "op8_warc": OP8_SQL, "op10_chat_formatting": OP10_SQL}
