@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastra.llm import chat, decontaminate, ngram_join, packing, spotsigs, token_counts, toxicity, warc
+from rastra.llm import chat, decontaminate, hmm, ngram_join, packing, spotsigs, token_counts, toxicity, warc
 from rastra.llm.common import join_hot, materialize, scratch
 from rastra.llm.sharding import ShardStore
 
@@ -133,6 +133,13 @@ FROM last
 """
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hmm.score(table(spark, sf_dir, "documents"), ~held_out(7))
+    return found.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
@@ -167,6 +174,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
