@@ -1,0 +1 @@
+"""rastra: raster analytics and text pipelines as Spark DataFrames."""
