@@ -38,10 +38,10 @@ from rastra.llm.common import LOWER_TABLE, materialize, prepare
 END = b" "
 CLASSES, SUFFIX = 256, 3
 #: Words whose counts are broadcast, and those of them that states emit by themselves.
-HEAD_WORDS, MODEL_WORDS = 200_000, 32_000
+HEAD_WORDS, MODEL_WORDS = 150_000, 32_000
 STATES, ROUNDS = 8, 3
 #: Texts, and their most frequent words, that the first guess looks at.
-GUESS_TEXTS, GUESS_WORDS = 2000, 4096
+GUESS_TEXTS, GUESS_WORDS = 1000, 4096
 #: Tokens that the recursions hold at a time, unless one text has more.
 BATCH_TOKENS = 300_000
 
@@ -100,14 +100,24 @@ class Head:
 
 
 def make_head(counts: DataFrame, head_words: int, model_words: int) -> Head:
+    """The head holds all words from some count up, and at most ``head_words``; the driver gets these and bounded sums."""
+    words_only = counts.filter(F.col("token") != F.lit(END))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = counts.filter(F.col("token") == F.lit(END)).select("c").collect()
-    top = counts.filter(F.col("token") != F.lit(END)).orderBy(F.desc("c"), "token").limit(head_words).collect()
-    tokens, c = [END, *(bytes(r.token) for r in top)], np.array([ends[0].c if ends else 0, *(r.c for r in top)], np.float64)
+    step = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")  # at most a thousand steps
+    sizes = sorted(((r.step, r.n) for r in words_only.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, met = 1 << 30, 0
+    for at, k in sizes:
+        if met + k > head_words:
+            break
+        least, met = at, met + k
+    top = words_only.filter(step >= least).toArrow()
+    order = np.lexsort((np.array(top.column("token").to_pylist(), object), -top.column("c").to_numpy()))
+    top = top.take(pa.array(order))
+    tokens, c = [END, *top.column("token").to_pylist()], np.concatenate(([ends[0].c if ends else 0], top.column("c").to_numpy())).astype(np.float64)
     words = min(model_words, len(top))
     total = np.ones(CLASSES)
-    sums = counts.filter(F.col("token") != F.lit(END)).groupBy(_class_column("token").alias("g")).agg(F.sum(F.col("c") + 1).alias("s"))
-    for r in sums.collect():
+    for r in words_only.groupBy(_class_column("token").alias("g")).agg(F.sum(F.col("c") + 1).alias("s")).collect():
         total[r.g] += r.s
     classes = np.array([word_class(t) for t in tokens])
     np.subtract.at(total, classes[1 : words + 1], c[1 : words + 1] + 1)
@@ -251,18 +261,17 @@ def baum_welch(table: DataFrame, model: Model, unigram: np.ndarray) -> tuple[Mod
         yield pa.RecordBatch.from_arrays(cols, ["id", *(f"s{s}" for s in range(k))])
 
     parts = table.filter("train").select("ids").mapInArrow(run, "id long, " + ", ".join(f"s{s} double" for s in range(k)))
-    found = parts.groupBy("id").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(k))).collect()
+    found = parts.groupBy("id").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(k))).toArrow()
     start, step, emitted, total = np.ones(k), np.full((k, k), 0.1), np.tile(unigram * 10, (k, 1)), 0.0
-    for r in found:
-        row = np.array(r[1:])
-        if r.id >= 0:
-            emitted[:, r.id] += row
-        elif r.id == -1:
-            start += row
-        elif r.id == -2:
-            total = float(row[0])
+    ids, sums = found.column("id").to_numpy(), np.stack([found.column(f"s{s}").to_numpy() for s in range(k)], axis=1)
+    emitted[:, ids[ids >= 0]] += sums[ids >= 0].T
+    for i in np.flatnonzero(ids < 0):
+        if ids[i] == -1:
+            start += sums[i]
+        elif ids[i] == -2:
+            total = float(sums[i][0])
         else:
-            step[-10 - r.id] += row
+            step[-10 - ids[i]] += sums[i]
     norm = lambda x: x / x.sum(axis=-1, keepdims=True)
     return Model(norm(start), norm(step), norm(emitted)), total
 
@@ -291,12 +300,12 @@ def first_guess(table: DataFrame, unigram: np.ndarray, states: int, texts: int =
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.int64())), pa.array(met, pa.list_(pa.int64()))], ["w", "m"])
 
     picked = table.filter("train").select(F.xxhash64("key").alias("h"), "key", "ids").orderBy("h", "key").limit(texts)
-    rows = picked.select("ids").mapInArrow(run, "w array<long>, m array<long>").collect()
+    rows = picked.select("ids").mapInArrow(run, "w array<long>, m array<long>").toArrow()
     emit = np.tile(unigram, (states, 1))
-    if rows:
+    if len(rows):
         x = np.zeros((len(rows), len(top)), np.float32)
-        for i, r in enumerate(rows):
-            x[i, r.w] = r.m
+        for i, (w, m) in enumerate(zip(rows.column("w"), rows.column("m"), strict=True)):
+            x[i, w.values.to_numpy()] = m.values.to_numpy()
         x = x[np.lexsort(x[:, :64].T)]
         rng = np.random.default_rng(seed)
         shares = (x + unigram[top]) / (x.sum(axis=1, keepdims=True) + 1)
