@@ -98,7 +98,7 @@ def directory(read, size: int) -> dict[str, Member]:
     tail_at = max(0, size - 65_557)
     tail = read(tail_at, size - tail_at)
     end = tail.rfind(END)
-    while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
         end = tail.rfind(END, 0, end)
     if end < 0:
         raise ValueError("no end record of a ZIP file")
