@@ -38,8 +38,9 @@ def _alternatives(words: list[str]) -> str:
     return "|".join(f"{c}(?:{'|'.join(sorted(rest, key=len, reverse=True))})" for c, rest in sorted(by.items()))
 
 
-_ANCHOR_RUN = rf"(?: (?:[^ ]{{1,2}}|{_alternatives([w for w in ANCHORS if len(w) > 2])})(?= ))+"
-_CONTENT = rf"(?: {_MARK})* [^ {_MARK}]+"
+# No group repeats without bound: Java's regular expressions take a stack frame for each turn of one.
+_ANCHOR = rf" (?:[^ ]{{1,2}}|{_alternatives([w for w in ANCHORS if len(w) > 2])})(?= )"
+_CONTENT = rf"{_MARK}* [^ {_MARK}]+"
 
 
 def signatures(text: Column) -> Column:
@@ -50,8 +51,8 @@ def signatures(text: Column) -> Column:
     the one signature. A null, empty or wordless text has none.
     """
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    marked = F.regexp_replace(words, F.lit(_ANCHOR_RUN), F.lit(f" {_MARK}"))
-    spots = F.regexp_extract_all(marked, F.lit(f"{_MARK}(?=((?:{_CONTENT}){{{CHAIN}}} ))"), F.lit(1))
+    marked = F.regexp_replace(words, F.lit(_ANCHOR), F.lit(_MARK))
+    spots = F.regexp_extract_all(marked, F.lit(f"{_MARK}(?!{_MARK})(?=((?:{_CONTENT}){{{CHAIN}}}))"), F.lit(1))
     plain = F.regexp_extract_all(words, F.lit(f"(?= ((?:[^ ]+ ){{{CHAIN}}}))"), F.lit(1))
     found = F.when(F.size(spots) > 0, spots).when(F.size(plain) > 0, plain).otherwise(F.array(words))
     hashes = F.array_sort(F.array_distinct(F.transform(found, lambda x: F.hash(x))))
