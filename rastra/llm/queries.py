@@ -31,6 +31,32 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+#: The words of a text in DuckDB: runs of digits, letters and non-ASCII characters, A-Z lower-cased.
+WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP1_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, {WORDS_SQL} AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, w[i:i + least(5, len(w)) - 1] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY 1
+), met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b, m.n = x.n AND m.n = y.n AS equal FROM met m JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 5 * m.n >= 4 * (x.n + y.n - m.n)
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), lowest AS (
+  SELECT a, min(b) AS low FROM reach GROUP BY 1
+), counted AS (
+  SELECT a, count(*) AS n_links, min(CASE WHEN equal THEN b END) AS low FROM links GROUP BY 1
+)
+SELECT d.doc_id, least(d.doc_id, coalesce(r.low, d.doc_id)) AS class_id, least(d.doc_id, coalesce(c.low, d.doc_id)) AS copy_id, coalesce(c.n_links, 0) AS n_links
+FROM documents d LEFT JOIN lowest r ON r.a = d.doc_id LEFT JOIN counted c ON c.a = d.doc_id
+"""
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents arrive in four lots of unequal size, are compacted, and are read back by the last manifest."""
     lot = F.floor(F.log2(F.pmod(F.xxhash64("doc_id"), F.lit(8)) + 1)).cast("int")
@@ -108,6 +134,27 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+OP6_SQL = f"""
+WITH words AS (
+  SELECT doc_id, {WORDS_SQL} AS w FROM documents
+), items AS (
+  SELECT item_id, {WORDS_SQL} AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, n, w[i:i + n - 1] AS g FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)
+), spots AS (
+  SELECT doc_id, n, i, w[i:i + n - 1] AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+), hits AS (
+  SELECT doc_id, item_id, i, n FROM spots JOIN windows USING (n, g)
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1
+), owned AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN owned USING (doc_id)
+"""
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn_from=~held_out(4))
@@ -179,4 +226,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
-SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op5_token_counts": OP5_SQL, "op8_warc": OP8_SQL, "op10_chat_formatting": OP10_SQL}
+SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": OP1_SQL,
+    "op2_sharding": OP2_SQL,
+    "op5_token_counts": OP5_SQL,
+    "op6_benchmark_decontamination": OP6_SQL,
+    "op8_warc": OP8_SQL,
+    "op10_chat_formatting": OP10_SQL,
+}
