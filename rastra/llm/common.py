@@ -81,6 +81,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def about(rows: DataFrame, by: str, wanted: int, total: int) -> DataFrame:
+    """Somewhat fewer than ``wanted`` of ``total`` rows, those of small hashes of a column; all rows if there are no more.
+
+    Each row is judged by itself, so that no task gathers candidates of all others.
+    """
+    if total <= wanted:
+        return rows
+    share = max(0.0, wanted - 4 * wanted**0.5) / total
+    return rows.filter(F.pmod(F.xxhash64(by), F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
 #: A key is hot if it holds more than one row in so many; there can be no more hot keys than that.
 HOT_SHARE = 1000
 

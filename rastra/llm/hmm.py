@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastra.llm.common import LOWER_TABLE, materialize, prepare
+from rastra.llm.common import LOWER_TABLE, about, materialize, prepare
 
 #: No word holds a space.
 END = b" "
@@ -282,8 +282,8 @@ def _unigram(head: Head, counts_of: np.ndarray) -> np.ndarray:
     return out / out.sum()
 
 
-def first_guess(table: DataFrame, unigram: np.ndarray, states: int, texts: int = GUESS_TEXTS, seed: int = 11) -> Model:
-    """States that emit like the parts of a mixture of unigrams, fitted to a bounded sample of texts."""
+def first_guess(table: DataFrame, unigram: np.ndarray, states: int, total: int, texts: int = GUESS_TEXTS, seed: int = 11) -> Model:
+    """States that emit like the parts of a mixture of unigrams, fitted to a bounded sample of the ``total`` training texts."""
     size = len(unigram)
     top = np.argsort(-unigram, kind="stable")[:GUESS_WORDS]
     place = np.full(size, -1)
@@ -299,7 +299,7 @@ def first_guess(table: DataFrame, unigram: np.ndarray, states: int, texts: int =
                 met.append(m)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.int64())), pa.array(met, pa.list_(pa.int64()))], ["w", "m"])
 
-    picked = table.filter("train").select(F.xxhash64("key").alias("h"), "key", "ids").orderBy("h", "key").limit(texts)
+    picked = about(table.filter("train").select("key", "ids"), "key", texts, total)
     rows = picked.select("ids").mapInArrow(run, "w array<long>, m array<long>").toArrow()
     emit = np.tile(unigram, (states, 1))
     if len(rows):
@@ -358,7 +358,7 @@ def score(
     head = make_head(counts, head_words, model_words)
     table = materialize(indexed(own, spark.sparkContext.broadcast(head)), "indexed")
     unigram = _unigram(head, 10**head.log_count - 1)
-    model = first_guess(table, unigram, states)
+    model = first_guess(table, unigram, states, int(round(10 ** head.log_count[0])) - 1)
     for _ in range(rounds):
         model, _ = baum_welch(table, model, unigram)
     held = spark.sparkContext.broadcast(model)
