@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastra.llm.boosting import BoostedTrees, Isotonic, sigmoid
-from rastra.llm.common import WORD_TABLE, materialize, prepare
+from rastra.llm.common import WORD_TABLE, about, materialize, prepare
 
 #: Common insults of four languages.
 INSULTS = (
@@ -213,8 +213,8 @@ def train(
     prepare(docs.sparkSession)
     rows = labels.filter(learn_from) if learn_from is not None else labels
     rows = rows.select(rows[id_col].alias("id"), rows[label_col].cast("int").alias("y")).filter("id is not null and y is not null")
-    picked = rows.groupBy("id").agg(F.least(F.max("y"), F.lit(1)).alias("y")).withColumn("key", F.xxhash64("id"))
-    picked = picked.orderBy("key", "id").limit(sample_rows)  # bounded, so it may be broadcast
+    each = materialize(rows.groupBy("id").agg(F.least(F.max("y"), F.lit(1)).alias("y")).withColumn("key", F.xxhash64("id")), "labels")
+    picked = about(each, "id", sample_rows, each.count())  # bounded, so it may be broadcast
     own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     sample = materialize(own.join(F.broadcast(picked), "id").select("text", "y", "key"), "sample")
     count = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
