@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
-        return found.rstrip("/")
+        return _qualified(spark, found).rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = f"file:///tmp/rastra-checkpoints-{os.getuid()}"
@@ -48,6 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, so that readers other than Spark find the same store."""
+    if "://" in path:
+        return path
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
