@@ -12,9 +12,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rastra.llm import decontaminate, hmm, ngram_join, packing, toxicity
+from rastra.llm import components, decontaminate, hmm, ngram_join, packing, toxicity
 from rastra.llm.boosting import BoostedTrees, Isotonic
-from rastra.llm.common import join_hot, words_of
+from rastra.llm.common import join_hot, materialize, words_of
 from rastra.llm.components import connected_components
 from rastra.llm.queries import word_tokenizer_path
 
@@ -105,6 +105,18 @@ def test_components(spark):
     assert got == label
 
 
+def test_components_of_long_paths_take_few_rounds(spark, monkeypatch):
+    """Ids that fall along the path used to move a label by one node a round, up to 60 rounds."""
+    falling, mixed = [0, *range(79, 0, -1)], list(range(1000, 1150))
+    random.Random(4).shuffle(mixed)
+    edges = [(a, b) for path in (falling, mixed) for a, b in zip(path, path[1:], strict=False)]
+    made = []
+    monkeypatch.setattr(components, "materialize", lambda df, name: made.append(name) or materialize(df, name))
+    got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: 0 if x < 1000 else 1000 for x in falling + mixed}
+    assert made.count("step") <= 12
+
+
 def test_join_hot_takes_hot_and_rare_keys(spark):
     left = spark.range(5000).select((F.when(F.col("id") < 4000, 0).otherwise(F.col("id"))).alias("k"), "id")
     right = left.filter("k < 4800").groupBy("k").agg(F.count("*").alias("n"))
