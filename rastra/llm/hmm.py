@@ -1,21 +1,24 @@
 """Language-model scores by a hidden Markov model over words.
 
 Tokens are the runs of characters between ASCII white space, lower-cased in
-A-Z, and one end token. States emit frequent words by themselves and all other
-words by class (the last three bytes, hashed); within a class a word's share is
-its add-one count, the same in every state, and one count is left for words
-that training hasn't seen. The model is therefore a distribution over all texts.
+A-Z, and one end token. States emit each word of the training texts by itself.
+One count in each of 256 classes (the last three bytes, hashed) is left for
+words that training hasn't seen. The model is therefore a distribution over all
+texts.
 
 Training: token counts are aggregated over the whole corpus; the texts become
-ids once, in a table in the shared folder; each Baum-Welch round runs the
-scaled forward and backward recursions over all training texts and sums the
-expected counts of all partitions, which the driver gets as one row for each
-word of the bounded model vocabulary. A first guess of the states comes from a
-mixture of unigrams over a small sample; the rounds themselves read everything.
-
-Scoring: the scaled forward recursion in double precision. Counts of words
-beyond the broadcast head come by a join on the word, so that nothing that
-grows with the corpus is broadcast.
+ids once, in a table in the shared folder, in blocks of bounded size. Each
+Baum-Welch round runs the scaled forward and backward recursions over all
+training texts. Expected counts of the most frequent words are summed to one row
+for each, which the driver gets and broadcasts. Those of all other words are
+kept in a distributed table, dealt by the word's 64-bit hash: a block sends its
+words' counts there and gets their sums back, so that nothing that grows with
+the vocabulary is broadcast. A first guess of the states comes from a mixture of
+unigrams over a small sample; the rounds themselves read everything.
+
+Scoring: the scaled forward recursion in double precision; sums of the other
+words come back in single precision. For the unigrams, counts of words beyond
+the broadcast head come by a join on the word.
 """
 
 from __future__ import annotations
@@ -23,27 +26,31 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastra.llm.common import LOWER_TABLE, about, materialize, prepare
+from rastra.llm.common import LOWER_TABLE, about, delete_path, materialize, prepare, scratch
 
 #: No word holds a space.
 END = b" "
 CLASSES, SUFFIX = 256, 3
-#: Words whose counts are broadcast, and those of them that states emit by themselves.
+#: Words whose counts are broadcast, and those of them whose emissions are; the others' are in a distributed table.
 HEAD_WORDS, MODEL_WORDS = 150_000, 32_000
 STATES, ROUNDS = 8, 3
 #: Texts, and their most frequent words, that the first guess looks at.
 GUESS_TEXTS, GUESS_WORDS = 1000, 4096
 #: Tokens that the recursions hold at a time, unless one text has more.
 BATCH_TOKENS = 300_000
+#: Tokens of a block of texts, unless one text has more, and words (one for each of its blocks) of a part of the table.
+BLOCK_TOKENS, PART_WORDS = 5_000_000, 500_000
 
 
 def tokens_of(data: bytes) -> list[bytes]:
@@ -100,18 +107,24 @@ class Head:
 
 
 def make_head(counts: DataFrame, head_words: int, model_words: int) -> Head:
-    """The head holds all words from some count up, and at most ``head_words``; the driver gets these and bounded sums."""
+    """The head holds all words from some count up, and of the next step of counts those of small hashes that still fit.
+
+    It has about ``head_words`` at most; the driver gets these and bounded sums.
+    """
     words_only = counts.filter(F.col("token") != F.lit(END))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = counts.filter(F.col("token") == F.lit(END)).select("c").collect()
     step = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")  # at most a thousand steps
     sizes = sorted(((r.step, r.n) for r in words_only.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    least, met = 1 << 30, 0
+    least, met, part = 1 << 30, 0, F.lit(False)
     for at, k in sizes:
         if met + k > head_words:
+            left = head_words - met
+            share = max(0.0, left - 4 * left**0.5) / k
+            part = (step == at) & (F.pmod(F.xxhash64("token"), F.lit(1 << 40)) < int(share * (1 << 40)))
             break
         least, met = at, met + k
-    top = words_only.filter(step >= least).toArrow()
+    top = words_only.filter((step >= least) | part).toArrow()
     order = np.lexsort((np.array(top.column("token").to_pylist(), object), -top.column("c").to_numpy()))
     top = top.take(pa.array(order))
     tokens, c = [END, *top.column("token").to_pylist()], np.concatenate(([ends[0].c if ends else 0], top.column("c").to_numpy())).astype(np.float64)
@@ -126,46 +139,68 @@ def make_head(counts: DataFrame, head_words: int, model_words: int) -> Head:
     return Head({t: i for i, t in enumerate(tokens)}, ids.astype(np.uint16), np.log10(c + 1), share, total, words, int(n), int(v))
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of four bytes as all first bytes, all second bytes and so on, which compress better."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _joined(data: bytes, dtype: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(dtype).ravel()
+
+
 def indexed(docs: DataFrame, held: Broadcast) -> DataFrame:
-    """For each text: a unique key, its model ids (little-endian unsigned 16-bit), sums over tokens, and the words beyond the head.
+    """For each text: a unique key, its block, its ids (unsigned 32-bit, in planes of bytes), sums over tokens, and the words beyond the head.
 
-    ``n_tokens`` counts all, ``n_known`` those of the head with c > 0; ``log_count`` and
-    ``log_share`` sum over the head's tokens, the latter also over the class
-    totals of the others. ``docs`` has doc_id, text and train.
+    Ids up to ``head.words`` are the model's; those above are places in the
+    block's own list of other words. The list's hashes are in ``vocab`` of one
+    more row for each block, whose key is null. ``n_tokens`` counts all,
+    ``n_known`` those of the head with c > 0; ``log_count`` sums over the head's
+    tokens. ``docs`` has doc_id, text and train.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"key long, doc_id {kind}, train boolean, n_tokens long, n_known long, log_count double, log_share double, ids binary, others array<binary>"
+    schema = f"key long, block long, doc_id {kind}, train boolean, n_tokens long, n_known long, log_count double, ids binary, others array<binary>, vocab binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         head: Head = held.value
         key, index = TaskContext.get().partitionId() << 40, head.index
+        block, size, tokens = TaskContext.get().partitionId() << 24, head.words + 1, 0
         known = 10**head.log_count > 1.5  # the end is in the head even if training has no text
+        own: dict[bytes, int] = {}
+        names = ["key", "block", "doc_id", "train", "n_tokens", "n_known", "log_count", "ids", "others", "vocab"]
+        types = [pa.int64(), pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.binary()]
+
+        def batch(cols: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+        def listed() -> pa.RecordBatch:
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
+            own.clear()
+            return batch([[None], [block], [None], [False], [0], [0], [0.0], [None], [None], [hashes.tobytes()]])
+
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            for data in b.column("text").cast(pa.binary()).to_pylist():
+            types[2] = b.schema.field("doc_id").type
+            cols: list[list] = [[] for _ in names]
+            for doc_id, train, data in zip(b.column("doc_id").to_pylist(), b.column("train").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 words = tokens_of(data or b"")
                 words.append(END)
                 at = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
-                beyond = np.flatnonzero(at < 0)
-                ids, share = head.ids[at], float(head.log_share[at[at >= 0]].sum())
-                others = []
-                if len(beyond):
-                    others = [words[i] for i in beyond.tolist()]
-                    classes = np.fromiter(map(word_class, others), np.int64, len(others))
-                    ids[beyond] = 1 + head.words + classes
-                    share -= float(np.log10(head.class_total[classes]).sum())
-                inside = at[at >= 0]
-                for col, x in zip(cols, (key, len(words), int(known[inside].sum()), float(head.log_count[inside].sum()), share, ids.tobytes(), others), strict=True):
+                inside, ids = at[at >= 0], at.copy()
+                beyond = np.flatnonzero((at < 0) | (at >= size))
+                ids[beyond] = [size + own.setdefault(words[i], len(own)) for i in beyond.tolist()]
+                others = [words[i] for i in np.flatnonzero(at < 0).tolist()]
+                found = (key, block, doc_id, train, len(words), int(known[inside].sum()), float(head.log_count[inside].sum()), _planes(ids.astype("<u4")), others, None)
+                for col, x in zip(cols, found, strict=True):
                     col.append(x)
-                key += 1
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
-            made = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [made[0], b.column("doc_id"), b.column("train"), *made[1:]],
-                ["key", "doc_id", "train", "n_tokens", "n_known", "log_count", "log_share", "ids", "others"],
-            )
+                key, tokens = key + 1, tokens + len(words)
+                if tokens >= BLOCK_TOKENS:
+                    yield batch(cols)
+                    yield listed()
+                    cols, tokens, block = [[] for _ in names], 0, block + 1
+            yield batch(cols)
+        if tokens:
+            yield listed()
 
     return docs.select("doc_id", "text", "train").mapInArrow(run, schema)
 
@@ -238,48 +273,104 @@ def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 def _texts(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u2").astype(np.int64) for x in column.to_pylist()]
+    return [_joined(x, "<u4").astype(np.int64) for x in column.to_pylist()]
 
 
-def baum_welch(table: DataFrame, model: Model, unigram: np.ndarray) -> tuple[Model, float]:
-    """One round over all training texts: the next model and the log10 likelihood under the present one."""
-    held = table.sparkSession.sparkContext.broadcast(
-        Model(model.start.astype(np.float32), model.step.astype(np.float32), model.emit.astype(np.float32))
+@dataclass
+class Rest:
+    """What emissions of the other words follow from, beside their expected counts."""
+
+    parts: int  # of the distributed table
+    total: float  # of c + 1 over all words, and one for each class
+    mass: np.ndarray | None = None  # of each state's counts; none before the first round, when all states emit them alike
+
+
+def _with_rest(model: Model, rest: Rest, vocab: np.ndarray, sums: pa.Table | None) -> tuple[Model, np.ndarray]:
+    """The model with the emissions of a block's other words, and these words' order by the part of the table."""
+    k, dtype = len(model.start), model.emit.dtype
+    order = np.argsort(vocab % np.uint64(rest.parts), kind="stable")
+    more = np.ones((len(vocab), k), dtype)
+    if rest.mass is not None:
+        told = sorted(zip(sums.column("part").to_pylist(), sums.column("sums").to_pylist(), strict=True))
+        met = np.empty((len(vocab), k))
+        met[order] = np.concatenate([np.empty(0, np.float32), *(_joined(x, "<f4") for _, x in told)]).reshape(-1, k)
+        more = ((met + 10 * (met.sum(axis=1, keepdims=True) + 1) / rest.total) / rest.mass).astype(dtype)
+    return Model(model.start, model.step, np.concatenate((np.ascontiguousarray(model.emit.T), more)).T), order
+
+
+def _by_block(rows: DataFrame, sums: DataFrame | None, run, schema: str) -> DataFrame:
+    """``run`` on each block's rows, with what the distributed table tells of its words."""
+    if sums is None:
+        return rows.groupBy("block").applyInArrow(lambda own: run(own, None), schema)
+    return rows.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(run, schema)
+
+
+def _summed(found: DataFrame, k: int) -> DataFrame:
+    """For each block and part, the sums over all blocks of the words that the block sent there, in its order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes = [np.frombuffer(x, "<u8") for x in table.column("vocab").to_pylist()]
+        counts = np.concatenate([_joined(x, "<f4") for x in table.column("sums").to_pylist()]).reshape(-1, k)
+        _, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        sums = np.stack([np.bincount(at, counts[:, s]) for s in range(k)], axis=1).astype(np.float32)
+        ends = np.cumsum([0, *map(len, hashes)])
+        out = [_planes(sums[at[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "sums": pa.array(out, pa.binary())})
+
+    sent = found.filter("part is not null").select("block", "part", "vocab", "sums")
+    return sent.groupBy("part").applyInArrow(run, "block long, part long, sums binary")
+
+
+def baum_welch(table: DataFrame, model: Model, unigram: np.ndarray, rest: Rest, sums: DataFrame | None) -> tuple[Model, Rest, DataFrame, str]:
+    """One round over all training texts: the next model, its sums of other words, and the path of what the round wrote."""
+    spark = table.sparkSession
+    held = spark.sparkContext.broadcast(
+        (Model(model.start.astype(np.float32), model.step.astype(np.float32), model.emit.astype(np.float32)), rest)
     )
     k, size = model.emit.shape
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: list = [np.zeros(k), np.zeros((k, k)), np.zeros((k, size)), 0.0]
-        for b in batches:
-            for i, x in enumerate(expected_counts(held.value, _texts(b.column("ids")))):
-                sums[i] += x
-        start, step, emitted, total = sums
-        seen = np.flatnonzero(emitted.any(axis=0))
+    def run(own: pa.Table, told: pa.Table | None) -> pa.Table:
+        vocab = np.frombuffer(own.column("vocab").drop_null()[0].as_py(), "<u8")
+        full, order = _with_rest(*held.value, vocab, told)
+        start, step, emitted, _ = expected_counts(full, _texts(own.column("ids").drop_null()))
+        seen = np.flatnonzero(emitted[:, :size].any(axis=0))
         names = np.concatenate([[-1, -2], np.arange(-10, -10 - k, -1), seen])
-        rows = np.vstack([start, np.full(k, total), step, emitted[:, seen].T])
-        cols = [pa.array(names), *(pa.array(np.ascontiguousarray(rows[:, s])) for s in range(k))]
-        yield pa.RecordBatch.from_arrays(cols, ["id", *(f"s{s}" for s in range(k))])
-
-    parts = table.filter("train").select("ids").mapInArrow(run, "id long, " + ", ".join(f"s{s} double" for s in range(k)))
-    found = parts.groupBy("id").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(k))).toArrow()
-    start, step, emitted, total = np.ones(k), np.full((k, k), 0.1), np.tile(unigram * 10, (k, 1)), 0.0
-    ids, sums = found.column("id").to_numpy(), np.stack([found.column(f"s{s}").to_numpy() for s in range(k)], axis=1)
-    emitted[:, ids[ids >= 0]] += sums[ids >= 0].T
+        rows = np.vstack([start, emitted[:, size:].sum(axis=1), step, emitted[:, seen].T])
+        parts, begin = np.unique((vocab % np.uint64(held.value[1].parts))[order], return_index=True)
+        ends = [*begin.tolist(), len(order)]
+        more, n, m = emitted[:, size:].T.astype(np.float32), len(names), len(parts)
+        chosen = [order[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        cols = {"id": pa.array([*names.tolist(), *[None] * m], pa.int64())}
+        cols |= {f"s{s}": pa.array([*rows[:, s].tolist(), *[None] * m], pa.float64()) for s in range(k)}
+        cols |= {"block": pa.array([own.column("block")[0].as_py()] * (n + m), pa.int64()), "part": pa.array([*[None] * n, *parts.tolist()], pa.int64())}
+        cols["vocab"] = pa.array([*[None] * n, *(vocab[c].tobytes() for c in chosen)], pa.binary())
+        cols["sums"] = pa.array([*[None] * n, *(_planes(more[c]) for c in chosen)], pa.binary())
+        return pa.table(cols)
+
+    rows = table.filter("train or key is null").select("block", "ids", "vocab")
+    schema = "id long, " + ", ".join(f"s{s} double" for s in range(k)) + ", block long, part long, vocab binary, sums binary"
+    path = scratch(spark, "round")
+    _by_block(rows, sums, run, schema).write.parquet(path)
+    written = spark.read.schema(schema).parquet(path)
+    found = written.filter("id is not null").groupBy("id").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(k))).toArrow()
+    start, step, emitted, other = np.ones(k), np.full((k, k), 0.1), np.tile(unigram * 10, (k, 1)), np.zeros(k)
+    ids, met = found.column("id").to_numpy(), np.stack([found.column(f"s{s}").to_numpy() for s in range(k)], axis=1)
+    emitted[:, ids[ids >= 0]] += met[ids >= 0].T
     for i in np.flatnonzero(ids < 0):
         if ids[i] == -1:
-            start += sums[i]
+            start += met[i]
         elif ids[i] == -2:
-            total = float(sums[i][0])
+            other = met[i]
         else:
-            step[-10 - ids[i]] += sums[i]
+            step[-10 - ids[i]] += met[i]
+    mass = emitted.sum(axis=1) + other + 10 * (1 - unigram.sum())
     norm = lambda x: x / x.sum(axis=-1, keepdims=True)
-    return Model(norm(start), norm(step), norm(emitted)), total
+    return Model(norm(start), norm(step), emitted / mass[:, None]), Rest(rest.parts, rest.total, mass), _summed(written, k), path
 
 
-def _unigram(head: Head, counts_of: np.ndarray) -> np.ndarray:
-    """Add-one shares of the model's ids; an unseen class keeps its one count."""
-    out = np.concatenate((counts_of[: head.words + 1] + 1, head.class_total))
-    return out / out.sum()
+def _unigram(head: Head, total: float) -> np.ndarray:
+    """Add-one shares of the model's ids; the other words and the classes' one counts have what is left."""
+    return 10 ** head.log_count[: head.words + 1] / total
 
 
 def first_guess(table: DataFrame, unigram: np.ndarray, states: int, total: int, texts: int = GUESS_TEXTS, seed: int = 11) -> Model:
@@ -293,7 +384,7 @@ def first_guess(table: DataFrame, unigram: np.ndarray, states: int, total: int,
         for b in batches:
             words, met = [], []
             for x in _texts(b.column("ids")):
-                at = place[x]
+                at = place[x[x < size]]
                 w, m = np.unique(at[at >= 0], return_counts=True)
                 words.append(w)
                 met.append(m)
@@ -325,7 +416,7 @@ def first_guess(table: DataFrame, unigram: np.ndarray, states: int, total: int,
         emit[:, top] = part / part.sum(axis=1, keepdims=True) * unigram[top].sum()
     step = np.full((states, states), 0.04 / max(1, states - 1))
     np.fill_diagonal(step, 0.96 if states > 1 else 1.0)
-    return Model(np.full(states, 1 / states), step, emit / emit.sum(axis=1, keepdims=True))
+    return Model(np.full(states, 1 / states), step, emit)
 
 
 def score(
@@ -352,28 +443,54 @@ def score(
     spark = docs.sparkSession
     prepare(spark)
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    counts = materialize(count_tokens(own.filter("train")), "token-counts")
     if model_words + 1 + CLASSES > 1 << 16:
         raise ValueError("the model's ids must fit 16 bits")
+    with _shuffles_go(spark):
+        return _score(own, states, rounds, head_words, model_words)
+
+
+@contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the job that made them ends: each round deals all training texts."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
+def _score(own: DataFrame, states: int, rounds: int, head_words: int, model_words: int) -> DataFrame:
+    spark = own.sparkSession
+    counts = materialize(count_tokens(own.filter("train")), "token-counts")
     head = make_head(counts, head_words, model_words)
     table = materialize(indexed(own, spark.sparkContext.broadcast(head)), "indexed")
-    unigram = _unigram(head, 10**head.log_count - 1)
-    model = first_guess(table, unigram, states, int(round(10 ** head.log_count[0])) - 1)
+    total = float((10 ** head.log_count[: head.words + 1]).sum() + head.class_total.sum())
+    unigram = _unigram(head, total)
+    words = table.filter("key is null").agg(F.coalesce(F.sum(F.length("vocab")), F.lit(0))).first()[0] // 8
+    model, rest, sums, was = first_guess(table, unigram, states, int(round(10 ** head.log_count[0])) - 1), Rest(1 + words // PART_WORDS, total), None, None
     for _ in range(rounds):
-        model, _ = baum_welch(table, model, unigram)
-    held = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = pa.array(log_likelihoods(held.value, _texts(b.column("ids"))))
-            kept = ["key", "doc_id", "train", "n_tokens", "n_known", "log_count", "log_share"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), found], [*kept, "likelihood"])
+        model, rest, sums, path = baum_welch(table, model, unigram, rest, sums)
+        if was:
+            delete_path(spark, was)
+        was = path
+    held = spark.sparkContext.broadcast((model, rest))
+    kept = ["key", "doc_id", "train", "n_tokens", "n_known", "log_count"]
+
+    def run(texts: pa.Table, told: pa.Table | None) -> pa.Table:
+        vocab = np.frombuffer(texts.column("vocab").drop_null()[0].as_py(), "<u8")
+        full, _ = _with_rest(*held.value, vocab, told)
+        texts = texts.filter(texts.column("key").is_valid())
+        found = pa.array(log_likelihoods(full, _texts(texts.column("ids"))))
+        return texts.select(kept).append_column("likelihood", found)
 
     kind = own.schema["doc_id"].dataType.simpleString()
-    scored = table.select("key", "doc_id", "train", "n_tokens", "n_known", "log_count", "log_share", "ids").mapInArrow(
-        run, f"key long, doc_id {kind}, train boolean, n_tokens long, n_known long, log_count double, log_share double, likelihood double"
+    scored = _by_block(
+        table.select("block", *kept, "ids", "vocab"), sums, run,
+        f"key long, doc_id {kind}, train boolean, n_tokens long, n_known long, log_count double, likelihood double",
     )
-    beyond = table.select("key", F.explode("others").alias("token"))
+    beyond = table.filter("key is not null").select("key", F.explode("others").alias("token"))
     count = F.coalesce("c", F.lit(0))
     sums = beyond.join(counts, "token", "left").groupBy("key").agg(
         F.sum(F.log10(count + 1.0)).alias("more_log"), F.sum((count > 0).cast("long")).alias("more_known")
@@ -383,5 +500,5 @@ def score(
         "doc_id", "train", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(head.n).cast("long").alias("train_tokens"),
         (F.col("log_count") + more - F.col("n_tokens") * F.lit(float(np.log10(head.n + head.v + 1)))).alias("base_score"),
-        (F.col("likelihood") + F.col("log_share") + more).alias("score"),
+        F.col("likelihood").alias("score"),
     )

@@ -338,6 +338,19 @@ def test_lm_scores(spark, head, words):
         assert np.isclose(same.setdefault(tuple(hmm.tokens_of((texts[r.doc_id] or "").encode())), r.score), r.score)
 
 
+def test_lm_learns_emissions_of_rare_words(spark, monkeypatch):
+    """Scores do not depend on how many words' emissions are broadcast, nor on blocks and parts."""
+    texts = odd(random.Random(8))
+    docs = docs_of(spark, texts)
+    monkeypatch.setattr(hmm, "GUESS_WORDS", 4)
+    monkeypatch.setattr(hmm, "PART_WORDS", 60, raising=False)
+    found = [
+        {r.doc_id: r.score for r in hmm.score(docs, F.col("doc_id") % 3 != 0, states=3, rounds=2, head_words=head, model_words=words).collect()}
+        for head, words in ((1000, 500), (20, 5))
+    ]
+    assert np.allclose([found[0][i] for i in range(len(texts))], [found[1][i] for i in range(len(texts))], rtol=1e-4)
+
+
 def test_lm_is_a_distribution(spark):
     """Over the vocabulary and one word unseen in each class, one-word continuations sum to 1."""
     texts = ["a b c", "a b", "c c a zz", "b"]
