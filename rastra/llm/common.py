@@ -101,20 +101,34 @@ def about(rows: DataFrame, by: str, wanted: int, total: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(by), F.lit(1 << 40)) < int(share * (1 << 40)))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the table doesn't have, made of the names given."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        found = f"__{name}"
+        while found.lower() in taken:
+            found += "_"
+        taken.add(found.lower())
+        out.append(found)
+    return out
+
+
 #: A key is hot if it holds more than one row in so many; there can be no more hot keys than that.
-HOT_SHARE = 1000
+HOT_SHARE = 100_000
 
 
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int, how: str = "inner") -> DataFrame:
     """Join to a table with one row a key, whose column ``rows`` tells how many rows of ``left`` each key has.
 
-    Keys with over 1/1000 of all ``total`` rows go by a broadcast (there are at
-    most 1000 such keys, whatever the size), the others by an ordinary join, so
-    that no hot key meets in one task. ``how`` is inner or left.
+    Keys with over a thousand rows and over 1/100000 of all ``total`` rows go by
+    a broadcast (there are at most 100000 such keys, whatever the size), so
+    that no hot key meets in one task; the others by an ordinary join. ``how``
+    is inner or left.
     """
     limit = max(1000, total // HOT_SHARE)
     hot = right.filter(F.col(rows) > limit)
-    flagged = left.join(F.broadcast(hot.select(*keys, F.lit(True).alias("__hot"))), keys, "left")
-    some = flagged.filter(F.col("__hot")).drop("__hot").join(F.broadcast(hot), keys, "inner")
-    rest = flagged.filter(F.col("__hot").isNull()).drop("__hot").join(right.filter(F.col(rows) <= limit), keys, how)
+    flag = unused(left, "hot")[0]
+    flagged = left.join(F.broadcast(hot.select(*keys, F.lit(True).alias(flag))), keys, "left")
+    some = flagged.filter(F.col(flag)).drop(flag).join(F.broadcast(hot), keys, "inner")
+    rest = flagged.filter(F.col(flag).isNull()).drop(flag).join(right.filter(F.col(rows) <= limit), keys, how)
     return some.unionByName(rest)

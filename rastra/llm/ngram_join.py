@@ -1,16 +1,17 @@
 """N-gram Jaccard join by MinHash banding.
 
-1. Every text becomes its set of hashed word n-grams. Documents of equal sets
-   form a class, which its least id represents.
-2. A class representative has 24 bands of 6 MinHash rows. At a similarity of
-   0.8 two sets meet in a band with probability 1 - (1 - 0.8^6)^24 = 0.9993;
-   at 0.3, with 0.017. Band hashes are shuffled alone, without the sets.
-3. Each representative is tied to the least one of each of its bands' buckets;
-   the components of these ties are the candidate groups.
-4. Only candidates' n-gram sets are made again and compared, all pairs of a
-   group in blocks of bounded size. A group of many members takes several
-   blocks in different tasks; pairs become counts inside the block and are
-   never rows.
+1. Every text becomes its set of hashed word n-grams. Rows of equal sets form a
+   class; classes, not ids, are what is compared, so that two texts under one id
+   stay apart.
+2. A class has 32 bands of 6 MinHash rows. At a similarity of 0.8 two sets meet
+   in a band with probability 1 - (1 - 0.8^6)^32 = 0.99994; at 0.3, with 0.023.
+   Band hashes are shuffled alone, without the sets.
+3. Classes that share band buckets are dealt to groups, the components of these
+   ties, and a group to chunks of bounded rows and bytes. Most groups are one
+   chunk. Two chunks meet in a block only through members that share a bucket
+   with the other side, so a group that is long but thin makes few comparisons.
+4. Only candidates' n-gram sets are made again. Each block is a task's work by
+   itself; pairs become counts inside it and are never rows.
 5. Links make the final components.
 """
 
@@ -22,16 +23,17 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastra.llm.common import join_hot, materialize, prepare, words_of
+from rastra.llm.common import join_hot, materialize, prepare, unused, words_of
 from rastra.llm.components import connected_components
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
-#: Members of a candidate group in one block side.
-BLOCK_ROWS = 1024
+BANDS, ROWS = 32, 6
+#: Members of a chunk, and bytes of their n-gram sets, on average; a block holds two chunks at most.
+BLOCK_ROWS, BLOCK_BYTES = 256, 16 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,6 +55,11 @@ def ngram_set(data: bytes, n: int) -> np.ndarray:
     return np.unique(_mix(acc + np.uint64(k)))
 
 
+def digest_of(grams: np.ndarray) -> bytes:
+    """A set's 128-bit digest."""
+    return xxhash.xxh128_digest(grams.tobytes())
+
+
 class Bander:
     """Band hashes of n-gram sets; the coefficients follow from a seed."""
 
@@ -73,9 +80,14 @@ class Bander:
         return acc.view(np.int64)
 
 
+def _text_hash(text: Column) -> Column:
+    """Tells the texts under one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, the set's 128-bit digest (d1, d2), its size and its band hashes; no bands for an empty set."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, d1 long, d2 long, n_grams long, bands array<long>"
+    """doc_id, its text's hash, the set's 128-bit digest (d1, d2), its size and its band hashes; no bands for an empty set."""
+    schema = "doc_id long, th long, d1 long, d2 long, n_grams long, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bander = Bander(bands, rows)
@@ -83,7 +95,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             digests, sizes, hashes, ends = [], [], [], [0]
             for data in b.column("text").cast(pa.binary()).to_pylist():
                 grams = ngram_set(data or b"", n)
-                digests.append(xxhash.xxh128_digest(grams.tobytes()))
+                digests.append(digest_of(grams))
                 sizes.append(len(grams))
                 if len(grams):
                     hashes.append(bander(grams))
@@ -91,10 +103,10 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             flat = np.concatenate(hashes) if hashes else np.empty(0, np.int64)
             bands_col = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-            arrays = [b.column("doc_id"), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(sizes, pa.int64()), bands_col]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "d1", "d2", "n_grams", "bands"])
+            arrays = [b.column("doc_id"), b.column("th"), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(sizes, pa.int64()), bands_col]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "th", "d1", "d2", "n_grams", "bands"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("doc_id", "th", "text").mapInArrow(run, schema)
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -110,7 +122,7 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     rows, col = rows[often], col[often]
     if len(col):
         col = np.cumsum(np.concatenate(([0], (col[1:] != col[:-1]).astype(np.int64))))
-    out = np.zeros((n, m), np.float32)
+    out = np.zeros((n, m))
     width = max(64, min(4096, 8_000_000 // (n + m)))
     for k in range(0, int(col[-1]) + 1 if len(col) else 0, width):
         lo, hi = np.searchsorted(col, [k, k + width])
@@ -120,13 +132,13 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out.astype(np.int64)
 
 
-def compare_block(ids: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, across: bool, similar: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of a block: how many documents of linked rows, and the least id that links lead to.
+def compare_block(keys: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, across: bool, similar: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """For each class of a block: how many rows linked classes have, and the least key that links lead to.
 
     ``side`` is 0 or 1; in a block ``across`` two chunks only pairs of different
     sides count, since those within a side belong to its own block.
     """
-    li = np.flatnonzero(side == 0) if across else np.arange(len(ids))
+    li = np.flatnonzero(side == 0) if across else np.arange(len(keys))
     ri = np.flatnonzero(side == 1) if across else li
     left, right = [sets[i] for i in li], [sets[i] for i in ri]
     both = intersections(left, right)
@@ -134,7 +146,7 @@ def compare_block(ids: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, s
     linked = (both * (similar.numerator + similar.denominator) >= similar.numerator * sizes) & (both > 0)
     if not across:
         np.fill_diagonal(linked, False)
-    links, root = np.zeros(len(ids), np.int64), ids.copy()
+    links, root = np.zeros(len(keys), np.int64), keys.copy()
     links[li] += linked @ copies[ri]
     if across:
         links[ri] += linked.T @ copies[li]
@@ -147,70 +159,98 @@ def compare_block(ids: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, s
             return links, root
 
 
+def _blocks_of(banded: DataFrame, hubs: DataFrame, classes: DataFrame, total: int, block_rows: int, block_bytes: int) -> DataFrame:
+    """The blocks each candidate class goes to: key, grp, bi, bj and its side in them.
+
+    A class meets its own chunk, and of its group's other chunks those with
+    which it shares a bucket.
+    """
+    met = materialize(join_hot(banded, hubs, ["band"], "met", total), "met")
+    groups = connected_components(met.select(F.col("key").alias("u"), F.col("hub").alias("v")))
+    groups = groups.select(F.col("node").alias("key"), F.col("label").alias("grp")).join(classes.select("key", "n_grams"), "key")
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("members"), (F.sum("n_grams") * 8).alias("bytes"))
+    sizes = sizes.withColumn("chunks", F.greatest(F.ceil(F.col("members") / block_rows), F.ceil(F.col("bytes") / block_bytes)).cast("long"))
+    dealt = join_hot(groups, sizes, ["grp"], "members", total).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")))
+    dealt = materialize(dealt.select("key", "grp", "chunk", "chunks"), "dealt")
+    own = dealt.select("key", "grp", F.col("chunk").alias("bi"), F.col("chunk").alias("bj"), F.lit(0).alias("side"))
+    # buckets of groups of several chunks: (band, chunk) pairs are fewer than members, and each is work for a block
+    wide = dealt.filter("chunks > 1").drop("chunks")
+    there = join_hot(met.select("key", "band"), wide.withColumn("one", F.lit(1)), ["key"], "one", total).select("key", "band", "grp", "chunk")
+    there = materialize(there, "there")
+    seen = there.groupBy("band", "chunk").agg(F.count("*").alias("n"))
+    listed = seen.groupBy("band").agg(F.collect_set("chunk").alias("others"), F.sum("n").alias("n")).filter(F.size("others") > 1)
+    across = join_hot(there, listed, ["band"], "n", total).select("key", "grp", "chunk", F.explode("others").alias("other")).filter("chunk <> other").distinct()
+    return own.unionByName(
+        across.select("key", "grp", F.least("chunk", "other").alias("bi"), F.greatest("chunk", "other").alias("bj"), (F.col("chunk") > F.col("other")).cast("int").alias("side"))
+    )
+
+
+def _told(docs: DataFrame, n: int, similarity: str, bands: int, rows: int, block_rows: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and each class's digest, key, number of rows, least row (doc_id and text hash), label and links.
+
+    ``docs`` has doc_id, text and the text's hash, th. Keys are numbers of this
+    run; they are written with the classes, so that all later steps see the same.
+    """
+    similar = Fraction(similarity)
+    signed = materialize(signatures(docs, n, bands, rows), "signed")
+    named = signed.filter("n_grams > 0 and doc_id is not null")
+    classes = named.groupBy("d1", "d2").agg(
+        F.min(F.struct("doc_id", "th")).alias("least"), F.count("*").alias("copies"), F.max("n_grams").alias("n_grams"), F.first("bands").alias("bands")
+    )
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("key"), "d1", "d2", "least.doc_id", "least.th", "copies", "n_grams", "bands"), "classes")
+    banded = classes.select("key", F.explode("bands").alias("band"))
+    hubs = banded.groupBy("band").agg(F.min("key").alias("hub"), F.count("*").alias("met")).filter("met > 1")
+    blocks = materialize(_blocks_of(banded, hubs, classes, signed.count() * bands, block_rows, block_bytes), "blocks")
+
+    picked = blocks.select("key").distinct().join(classes.select("key", "doc_id", "th", "copies", "d1", "d2"), "key")
+    texts = docs.filter("doc_id is not null").groupBy("doc_id", "th").agg(F.first("text").alias("text")).join(picked, ["doc_id", "th"])
+    found = (
+        _sets(texts, n).join(blocks, "key").groupBy("grp", "bi", "bj").applyInArrow(_block_runner(similar), "key long, links long, root long")
+    )
+    found = materialize(found, "links")
+    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    ends = connected_components(found.filter("key <> root").select(F.col("key").alias("u"), F.col("root").alias("v")))
+    told = classes.drop("bands").join(links, "key", "left").join(ends.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    least = told.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count("*").alias("members"))
+    told = join_hot(told, least, ["label"], "members", signed.count()).drop("members")
+    return signed, materialize(told, "told")
+
+
 def join(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     n: int = 5,
     similarity: str = "0.8",
-    bands: int = 24,
-    rows: int = 6,
+    bands: int = BANDS,
+    rows: int = ROWS,
     block_rows: int = BLOCK_ROWS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Each document with its similarity class and its number of links.
+    """Each row with its similarity class and its number of links.
 
-    Columns: doc_id; class_id, the least id among the documents that links
-    connect, itself included; copy_id, the least id among documents of an equal
-    n-gram set; n_links, the number of other documents with a Jaccard
-    similarity of word n-grams of at least ``similarity``, copies included.
-    Ids must be integers.
+    Columns: doc_id; class_id, the least id among the rows that links connect,
+    itself included; copy_id, the least id among rows of an equal n-gram set;
+    n_links, the number of other rows with a Jaccard similarity of word n-grams
+    of at least ``similarity``, copies included. Ids must be integers.
 
     Words are lower-cased runs of digits, letters and non-ASCII characters. A
     text of fewer than n words is one n-gram. Null and empty texts, or texts
-    without words, have no links and are their own class. Rows of one id are
-    taken for one document's; each is returned, and repeats count as copies.
-    Rows of null ids are returned with null classes and no links. An empty
-    table gives no rows. Other columns are ignored.
+    without words, have no links and are their own class. Rows are the units:
+    rows of one id may have different texts, each with classes and links of its
+    own, and a repeated row is a copy. Rows of null ids are returned with null
+    classes and no links. An empty table gives no rows. Other columns are
+    ignored.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    similar = Fraction(similarity)
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    signed = materialize(signatures(own, n, bands, rows), "signed")
-    named = signed.filter("n_grams > 0 and doc_id is not null")
-    classes = materialize(
-        named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")),
-        "classes",
-    )
-    banded = classes.select("rep", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("met")).filter("met > 1")
-    total = signed.count()
-    ties = join_hot(banded, hubs, ["band"], "met", total * bands).select(F.col("rep").alias("u"), F.col("hub").alias("v"))
-    groups = connected_components(ties).select(F.col("node").alias("rep"), F.col("label").alias("grp"))
-    groups = groups.join(groups.groupBy("grp").agg(F.count("*").alias("members")), "grp")
-
-    chunked = groups.withColumn("chunks", F.ceil(F.col("members") / block_rows)).withColumn(
-        "chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))
+    prepare(docs.sparkSession)
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("th", _text_hash(F.col("text")))
+    signed, told = _told(own, n, similarity, bands, rows, block_rows, block_bytes)
+    told = told.select(
+        "d1", "d2", "copies", F.col("doc_id").alias("copy_id"), F.col("first.doc_id").alias("class_id"),
+        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     )
-    picked = chunked.join(classes.select("rep", "copies"), "rep")
-    texts = own.join(picked.withColumnRenamed("rep", "doc_id"), "doc_id")
-    sets = _sets(texts, n).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    blocks = sets.select(
-        "grp", F.least("chunk", "other").alias("bi"), F.greatest("chunk", "other").alias("bj"),
-        (F.col("chunk") > F.col("other")).cast("int").alias("side"), "rep", "copies", "grams",
-    )
-    found = blocks.groupBy("grp", "bi", "bj").applyInArrow(_block_runner(similar), "rep long, links long, root long")
-    found = materialize(found, "links")
-    links = found.groupBy(F.col("rep")).agg(F.sum("links").alias("links"))
-    ends = connected_components(found.filter("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    told = (
-        classes.select("d1", "d2", "rep", "copies")
-        .join(links, "rep", "left")
-        .join(ends.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("d1", "d2", "copies", F.col("rep").alias("copy_id"), F.coalesce("label", "rep").alias("class_id"),
-                (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    )
-    in_class = join_hot(named.select("doc_id", "d1", "d2"), told, ["d1", "d2"], "copies", total)
+    named = signed.filter("n_grams > 0 and doc_id is not null").select("doc_id", "d1", "d2")
+    in_class = join_hot(named, told, ["d1", "d2"], "copies", signed.count())
     alone = signed.filter("n_grams = 0 or doc_id is null").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links")
     )
@@ -222,37 +262,56 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grams = [ngram_set(x or b"", n).tobytes() for x in b.column("text").cast(pa.binary()).to_pylist()]
-            kept = [b.column(x) for x in ("grp", "doc_id", "copies", "chunks", "chunk")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(grams, pa.binary())], ["grp", "rep", "copies", "chunks", "chunk", "grams"])
+            sets = [ngram_set(x or b"", n) for x in b.column("text").cast(pa.binary()).to_pylist()]
+            halves = np.frombuffer(b"".join(map(digest_of, sets)), np.int64).reshape(-1, 2)
+            same = (halves[:, 0] == b.column("d1").to_numpy()) & (halves[:, 1] == b.column("d2").to_numpy())
+            if not same.all():
+                raise ValueError("a text was not the same when it was read again")
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("copies"), pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "copies", "grams"])
 
-    own = texts.select("grp", "doc_id", "copies", "chunks", "chunk", "text")
-    return own.mapInArrow(run, "grp long, rep long, copies long, chunks long, chunk long, grams binary")
+    return texts.select("key", "copies", "d1", "d2", "text").mapInArrow(run, "key long, copies long, grams binary")
 
 
 def _block_runner(similar: Fraction):
     def run(table: pa.Table) -> pa.Table:
-        ids, first = np.unique(table.column("rep").to_numpy(), return_index=True)  # rows of one id are one document
-        grams, side, copies = (table.column(x).take(pa.array(first)) for x in ("grams", "side", "copies"))
-        sets = [np.frombuffer(x, np.uint64) for x in grams.to_pylist()]
-        side, copies = side.to_numpy(), copies.to_numpy()
+        table = table.sort_by("key")
+        keys, copies, side = (table.column(c).to_numpy() for c in ("key", "copies", "side"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
         across = table.column("bi")[0].as_py() != table.column("bj")[0].as_py()
-        if len(ids) < 2 or across and len(set(side.tolist())) < 2:
-            links, root = np.zeros(len(ids), np.int64), ids
+        if len(keys) < 2 or across and len(set(side.tolist())) < 2:
+            links, root = np.zeros(len(keys), np.int64), keys
         else:
-            links, root = compare_block(ids, sets, copies, side, across, similar)
+            links, root = compare_block(keys, sets, copies, side, across, similar)
         some = links > 0
-        return pa.table({"rep": ids[some], "links": links[some], "root": root[some]})
+        return pa.table({"key": keys[some], "links": links[some], "root": root[some]})
 
     return run
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents, but of each similarity class only that of the least id; all columns stay.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents, but of each similarity class only one row, that of the least id; all columns stay.
 
-    Rows of null ids stay.
+    Rows are dropped, not ids: a row goes only if its own text is linked to the
+    row that stays. Rows of one id and different, unlinked texts all stay. Of
+    rows of the least id within a class, those of the least text hash stay, and
+    of equal ones in id and text the one whose columns hash least. Rows of null
+    ids, and null or wordless texts, stay. An empty table stays empty. Ids must
+    be integers.
     """
-    found = join(docs, id_col=id_col, **options)
-    drop = found.filter("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    drop = materialize(drop, "dropped")
-    return docs.join(drop, id_col, "left_anti").select(*docs.columns)
+    spark = docs.sparkSession
+    prepare(spark)
+    i, t = unused(docs, "id", "th")
+    keyed = docs.withColumns({i: docs[id_col].cast("long"), t: _text_hash(docs[text_col])})
+    own = keyed.select(F.col(i).alias("doc_id"), F.col(t).alias("th"), docs[text_col].alias("text"))
+    options = {"n": 5, "similarity": "0.8", "bands": BANDS, "rows": ROWS, "block_rows": BLOCK_ROWS, "block_bytes": BLOCK_BYTES} | options
+    signed, told = _told(own, **options)
+    named = signed.filter("n_grams > 0 and doc_id is not null").groupBy("doc_id", "th", "d1", "d2").agg(F.count("*").alias("met"))
+    firsts = told.filter((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.th") == F.col("th"))).select("doc_id", "th", F.lit(True).alias("stays"))
+    fate = named.join(firsts, ["doc_id", "th"], "left").filter("stays is null or met > 1")
+    fate = materialize(fate.select(F.col("doc_id").alias(i), F.col("th").alias(t), F.coalesce("stays", F.lit(False)).alias("once")), "fate")
+    kept = keyed.join(fate, [i, t], "left_anti").select(*docs.columns)
+    if not fate.filter("once").limit(1).count():
+        return kept
+    repeated = keyed.join(fate.filter("once").select(i, t), [i, t], "left_semi")
+    one = repeated.groupBy(i, t).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
+    return kept.unionByName(one.select("row.*"))

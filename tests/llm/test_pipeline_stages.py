@@ -66,13 +66,40 @@ def brute_join(texts):
     return [(i, label[i], copy[i], sum(link[i])) for i in range(n)]
 
 
-@pytest.mark.parametrize("block_rows", [1024, 3])
+@pytest.mark.parametrize("block_rows", [ngram_join.BLOCK_ROWS, 3])
 def test_join_is_brute_force(spark, block_rows):
+    """At the shipped bands and rows, with one chunk a group and with many."""
     texts = odd(random.Random(5))
-    got = ngram_join.join(docs_of(spark, texts), bands=60, rows=4, block_rows=block_rows)
+    got = ngram_join.join(docs_of(spark, texts), block_rows=block_rows)
     assert sorted(map(tuple, got.collect())) == brute_join(texts)
 
 
+def test_join_at_the_threshold(spark):
+    """Pairs of similarity from 0.8 to 0.85: the shipped bands and rows find them."""
+    rng = random.Random(12)
+    texts = []
+    for k in range(150):
+        w = [f"w{k}x{i}" for i in range(100)]  # 96 n-grams; a change of five words in a row parts 9
+        v = [*w[:20], *(f"y{k}x{i}" for i in range(rng.choice([3, 4, 5]))), *w[25:]]
+        texts += [" ".join(w), " ".join(v)]
+    want = brute_join(texts)
+    got = sorted(map(tuple, ngram_join.join(docs_of(spark, texts)).collect()))
+    assert got == want and sum(r[3] for r in want) >= 200
+
+
+def test_blocks_by_bytes(spark):
+    """Long texts make chunks of few members; the result is the same."""
+    rng = random.Random(13)
+    base = prose(rng, 3000).split()
+    texts = []
+    for i in range(12):
+        v = list(base)
+        v[17 * i] = f"x{i}"
+        texts.append(" ".join(v))
+    got = ngram_join.join(docs_of(spark, texts), block_bytes=60_000).collect()
+    assert {(r.class_id, r.n_links) for r in got} == {(0, 11)} and len(got) == 12
+
+
 def test_join_of_large_groups_and_odd_rows(spark):
     rng = random.Random(9)
     base = prose(rng, 150).split()
@@ -82,7 +109,8 @@ def test_join_of_large_groups_and_odd_rows(spark):
         v[i % 150] = f"x{i}"
         texts.append(" ".join(v))
     texts += [" ".join(base)] * 200
-    docs = docs_of(spark, texts).unionByName(spark.createDataFrame([(None, "a b c"), (7, texts[7])], "doc_id long, text string"), allowMissingColumns=True)
+    more = spark.createDataFrame([(None, "a b c"), (7, texts[7])], "doc_id long, text string")
+    docs = docs_of(spark, texts).unionByName(more, allowMissingColumns=True)
     got = ngram_join.join(docs, block_rows=64).collect()
     assert len(got) == 502
     assert {r.class_id for r in got if r.doc_id is not None} == {0}
@@ -90,7 +118,26 @@ def test_join_of_large_groups_and_odd_rows(spark):
     assert [(r.class_id, r.n_links) for r in got if r.doc_id is None] == [(None, 0)]
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, 0]
-    assert ngram_join.join(docs.limit(0)).count() == 0
+    assert ngram_join.join(docs.limit(0)).count() == 0 == ngram_join.one_of_each(docs.limit(0)).count()
+
+
+def test_rows_not_ids_are_dropped(spark):
+    """A unique text stays although its id also carries a copy; a repeated row collapses to one."""
+    rng = random.Random(14)
+    a, b, c = prose(rng, 40), prose(rng, 40), prose(rng, 40)
+    near = a.split()
+    near[0] = "changed"
+    rows = [(3, a, "p"), (3, a, "p"), (3, a, "q"), (7, a, "p"), (7, b, "p"), (8, b, "p"), (9, c, "p"), (9, " ".join(near), "p"), (4, None, "p"), (4, None, "p"), (None, a, "p"), (None, a, "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __th string").repartition(4)
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert sorted(((i, t) for i, t, _ in got if i is not None), key=str) == sorted([(3, a), (7, b), (9, c), (4, None), (4, None)], key=str)
+    assert sum(i is None for i, _, _ in got) == 2
+    links = sorted((r.doc_id, r.class_id, r.copy_id, r.n_links) for r in ngram_join.join(docs).collect() if r.doc_id in (3, 7, 8, 9))
+    assert links == [(3, 3, 3, 4)] * 3 + [(7, 3, 3, 4), (7, 7, 7, 1), (8, 7, 7, 1), (9, 3, 9, 4), (9, 9, 9, 0)]
+    # the same row whatever the order
+    assert {tuple(r) for r in ngram_join.one_of_each(docs.orderBy(F.desc("doc_id"))).collect()} == set(got)
 
 
 def test_components(spark):
