@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rastra.operators.ranges import ranked, unused
+
 #: The form of a numbered pattern and of an exit code in a log.
 NUMBERED = r"^([^#]*)(#+)([^#;]*);(\d+)-(\d+)$"
 EXIT_CODE = r"Exit Code: (\d+)"
@@ -94,22 +96,19 @@ def _plain(x: Column) -> Column:
 
 
 def zip_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Pairs two lists by their place in sorted order; the lists must be as long as one another.
+    """Pairs two lists by their place in sorted order: place, the key and, as ``<key>_2``, the other list's.
 
-    Places are counted within ranges of the key and shifted by the counts of
-    earlier ranges, so no task sorts a whole list.
+    Lists of different lengths are an error, as are empty ones.
     """
+    n, m = left.count(), right.count()
+    if n != m or not n:
+        raise ValueError(f"lists of {n} and {m} rows do not pair; both must be as long, and not empty")
     return placed(left, key).join(placed(right.withColumnRenamed(key, f"{key}_2"), f"{key}_2"), "place")
 
 
 def placed(df: DataFrame, key: str) -> DataFrame:
     """Adds ``place``, the row's number from 0 by ascending key (keys are distinct)."""
-    # a first character's range is sorted by itself; ranges are few
-    part = F.substring(key, 1, 6)
-    counts = df.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
-    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
-    numbered = df.withColumn("__part", part).withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(key)))
-    return numbered.join(before, "__part").withColumn("place", F.col("__before") + F.col("__k") - 1).drop("__part", "__k", "__before", "__n")
+    return ranked(df, [key])
 
 
 def task_batches(grid: DataFrame, per_task: int) -> DataFrame:
@@ -139,10 +138,11 @@ def restart_point(expected: DataFrame, present: DataFrame) -> DataFrame:
 
 def systematic_sample(rows: DataFrame, by: str, order: list[str], every: int = 10) -> DataFrame:
     """Every so many rows of each class, from its first one, in the given order."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return rows.withColumn("__n", n).filter((F.col("__n") - 1) % every == 0).drop("__n")
+    n = unused(rows, "n")[0]
+    return ranked(rows, order, [by], n).filter(F.col(n) % every == 0).drop(n)
 
 
 def stratified_cap(rows: DataFrame, by: str, key: Column, cap: int) -> DataFrame:
     """At most ``cap`` rows of each class: those of the least keys; nothing is dropped from smaller classes."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(key))).filter(F.col("__n") <= cap).drop("__n")
+    k, n = unused(rows, "k", "n")
+    return ranked(rows.withColumn(k, key), [k], [by], n).filter(F.col(n) < cap).drop(k, n)

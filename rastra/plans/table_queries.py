@@ -17,13 +17,14 @@ def op_union_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH have AS (SELECT 'slice' || lpad(CAST(o_orderkey AS VARCHAR), 4, '0') || '.png' AS name FROM orders WHERE o_orderkey < 10000), "
+    "WITH have AS (SELECT 'slice' || CASE WHEN o_orderkey < 10000 THEN lpad(CAST(o_orderkey AS VARCHAR), 4, '0') ELSE CAST(o_orderkey AS VARCHAR) END || '.png' AS name FROM orders), "
     "want AS (SELECT 'slice' || CASE WHEN i < 10000 THEN lpad(CAST(i AS VARCHAR), 4, '0') ELSE CAST(i AS VARCHAR) END || '.png' AS name FROM range(990, 1041) r(i)) "
     "SELECT name FROM want WHERE name IN (SELECT name FROM have)"
 )
 def op_numeric_pattern(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("o_orderkey").cast("string")
-    have = table(spark, d, "orders").filter("o_orderkey < 10000").select(F.concat(F.lit("slice"), F.lpad(key, 4, "0"), F.lit(".png")).alias("name"))
+    digits = F.when(F.length(key) < 4, F.lpad(key, 4, "0")).otherwise(key)
+    have = table(spark, d, "orders").select(F.concat(F.lit("slice"), digits, F.lit(".png")).alias("name"))
     patterns = spark.createDataFrame([("slice####.png;990-1040",), ("slice####.png;9-3",), ("plain.png",)], "pattern string")
     return tables.numbered_names(patterns, have)
 

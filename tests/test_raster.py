@@ -235,6 +235,64 @@ def test_kmeans(spark):
     assert model.kmeans_step(rows, spark.createDataFrame([(0, [0.0, 0.0]), (1, [99.0, 99.0])], "k int, m array<double>")).filter("k = 1").first().m == [0.0, 0.0]
 
 
+def test_kmeans_from_coarse_to_fine(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.1, (200, 2)) for c in ((0, 0), (5, 5), (0, 5))])
+    assert training.nested_sizes(600, 50) == [67, 200, 600] and training.nested_sizes(40, 50) == [40]
+    centres = training.coarse_to_fine(x, 3, np.random.default_rng(1))
+    assert sorted(np.round(centres).tolist()) == [[0, 0], [0, 5], [5, 5]]
+    # a centre without rows: equal rows have one centre for all, and the tries end
+    same = training.coarse_to_fine(np.ones((60, 2)), 2, np.random.default_rng(1))
+    assert same.shape == (2, 2) and [1, 1] in same.tolist()
+    assert training.coarse_to_fine(np.array([[1.0, 2.0]]), 3, np.random.default_rng(1)).shape == (3, 2)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, f array<double>")
+    assert sorted(np.round([r.m for r in model.kmeans(rows, 3).collect()]).tolist()) == [[0, 0], [0, 5], [5, 5]]
+    assert model.kmeans(rows.limit(0), 3).count() == 0
+
+
+def test_batches_are_counted_in_each_pass():
+    """130 rows: one update a pass; the 30 left over go into the next pass's update beside its first 100."""
+    rng = np.random.default_rng(7)
+    x, rates = rng.normal(size=(130, 3)), training.Rates(0.1, 0.5, 3, 2, 2)
+    y = (x[:, 0] > 0).astype(float)
+    got, errors = training.fit_batches(x, y, rates)
+    again = np.random.default_rng(rates.seed)
+    w = training.initial(x, y, rates, again)
+    x1 = np.concatenate([x, np.ones((130, 1))], axis=1)
+    rest, speed = np.zeros_like(w), np.zeros_like(w)
+    sums = lambda rows: training._terms(x1[rows], y[rows], w, 2)[0].T @ x1[rows]
+    for _ in range(3):
+        order = again.permutation(130)
+        speed = rest + sums(order[:100]) + 0.5 * speed
+        w = w + 0.1 * speed
+        rest = sums(order[100:])
+    assert np.allclose(got, w) and len(errors) == 3
+
+
+def test_places_of_any_values(spark):
+    """Shared prefixes, repeats, nulls, wide numbers and clashing columns; ranges hold no more than their part."""
+    from rastra.operators import ranges
+
+    paths = spark.createDataFrame([(f"file:/data/{i:05d}", i) for i in range(3000)], "path string, __range int").repartition(5)
+    got = tables.placed(paths, "path")
+    assert got.columns == ["path", "__range", "place"] and all(r.place == r["__range"] for r in got.collect())
+    starts = ranges.range_starts(paths, ["path"], 8)
+    sizes = [r["count"] for r in paths.groupBy(ranges.range_of(paths, ["path"], starts).alias("k")).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 3 * 3000 / 8
+    values = [None, None, -(2**63), 2**63 - 1, 5, 5, 5, 0]
+    rows = spark.createDataFrame([(k % 2, v) for k, v in enumerate(values * 40)], "c int, v long")
+    found = ranges.ranked(rows, ["v"], ["c"], ranges=6).collect()
+    for c in (0, 1):
+        own = sorted((r.place, r.v) for r in found if r.c == c)
+        assert [p for p, _ in own] == list(range(160))
+        assert [v for _, v in own] == sorted((v for k, v in enumerate(values * 40) if k % 2 == c), key=lambda v: (v is not None, v or 0))
+    assert ranges.ranked(rows.limit(0), ["v"]).count() == 0
+    with pytest.raises(ValueError, match="pair"):
+        tables.zip_join(paths.select("path"), paths.select("path").limit(3), "path")
+    zipped = tables.zip_join(paths.select("path"), paths.select(F.concat("path", F.lit("l")).alias("path")), "path")
+    assert zipped.filter("concat(path, 'l') = path_2").count() == 3000
+
+
 def test_command_line():
     from rastra.__main__ import parser
 
