@@ -1,9 +1,13 @@
 """SpotSigs fingerprints with built-in functions only.
 
 A spot is an anchor, a very common or very short word, and its signature the
-chain of the next content words; between them further anchors are skipped. A
-text's fingerprint is the set of its signatures' hashes. Two texts are alike
-as the Jaccard similarity of their sets.
+chain of the next content words; between them further anchors are skipped.
+Where common words are rare, as in tables and in short texts, other words are
+anchors of themselves: those that begin six content words without an anchor,
+and the first ``SHORT`` words of a text. All of these depend on a word's
+neighbours alone, so a change at one place leaves the signatures of others. A
+text's fingerprint is the set of its signatures' hashes, so it is about as long
+as the text. Two texts are alike as the Jaccard similarity of their sets.
 
 For the join, sets are partitioned by their length: lengths form geometric
 bins, and a set meets only its own and the next bins that the threshold allows.
@@ -16,8 +20,13 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rastra.operators.ranges import range_of, range_starts
 
 #: Common words of four languages that serve as anchors, beside all words of one or two characters.
 ANCHORS = (
@@ -27,6 +36,8 @@ ANCHORS = (
     "los las del una por con para como más pero sus este entre cuando muy sin sobre también"
 ).split()
 CHAIN = 3
+#: Content words without an anchor of which the first becomes one, and words at a text's beginning that all are.
+STRETCH, SHORT = 6, 30
 _MARK = "\u0001"
 
 
@@ -43,20 +54,36 @@ _ANCHOR = rf" (?:[^ ]{{1,2}}|{_alternatives([w for w in ANCHORS if len(w) > 2])}
 _CONTENT = rf"{_MARK}* [^ {_MARK}]+"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def signatures(text: Column) -> Column:
     """Sorted distinct 32-bit hashes of a text's signatures.
 
-    Where no anchor is followed by a whole chain, every word is an anchor of
-    itself; where there are too few words even for that, the words together are
-    the one signature. A null, empty or wordless text has none.
+    Where there are too few words for a chain, they are the one signature
+    together. A null, empty or wordless text has none.
     """
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    marked = F.regexp_replace(words, F.lit(_ANCHOR), F.lit(_MARK))
-    spots = F.regexp_extract_all(marked, F.lit(f"{_MARK}(?!{_MARK})(?=((?:{_CONTENT}){{{CHAIN}}}))"), F.lit(1))
-    plain = F.regexp_extract_all(words, F.lit(f"(?= ((?:[^ ]+ ){{{CHAIN}}}))"), F.lit(1))
-    found = F.when(F.size(spots) > 0, spots).when(F.size(plain) > 0, plain).otherwise(F.array(words))
-    hashes = F.array_sort(F.array_distinct(F.transform(found, lambda x: F.hash(x))))
-    return F.when(F.length(F.trim(words)) > 0, hashes).otherwise(F.array().cast("array<int>"))
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    every = lambda t, pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
+    content = rf"(?: [^ {_MARK}]+)"
+
+    def chains(w: Column) -> Column:
+        head = F.concat(F.regexp_extract(w, rf"^((?: [^ ]+){{0,{SHORT}}})", 1), F.lit(" "))
+        marked = F.regexp_replace(w, F.lit(_ANCHOR), F.lit(_MARK))
+        spots = _let(marked, lambda m: F.concat(
+            every(m, f"{_MARK}(?!{_MARK})(?=((?:{_CONTENT}){{{CHAIN}}}))"),
+            every(m, f"(?=({content}{{{CHAIN}}}){content}{{{STRETCH - CHAIN}}})"),
+        ))
+        return F.concat(spots, every(head, f"(?= ((?:[^ ]+ ){{{CHAIN}}}))"))
+
+    def hashes(w: Column) -> Column:
+        found = _let(chains(w), lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(w)))
+        hashed = F.array_sort(F.array_distinct(F.transform(found, lambda x: F.hash(x))))
+        return F.when(F.length(w) > 2, hashed).otherwise(F.array().cast("array<int>"))
+
+    return _let(words, hashes)
 
 
 def fingerprint(signs: Column) -> Column:
@@ -71,63 +98,35 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either > 0, common / either).otherwise(F.lit(1.0))
 
 
-#: Rows of a bucket of neighbouring ids, about, and buckets at most.
-BUCKET_ROWS, MAX_BUCKETS, LEVELS = 4000, 65_536, 64
-
+#: Rows of a bucket of neighbouring ids, about, and buckets at most: 100 TB have some 400 MB in each.
+BUCKET_ROWS, MAX_BUCKETS = 2000, 262_144
 
-def _bucketed(docs: DataFrame, rows: int) -> Column:
-    """The bucket of a doc_id: ranges of ids between quantiles, each cut evenly. Order of buckets is order of ids."""
-    wanted = min(MAX_BUCKETS, max(1, -(-rows // BUCKET_ROWS)))
-    if wanted == 1:
-        return F.lit(0)
-    n = min(LEVELS, wanted)
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(n + 1)], 10_000)).first()[0]
-    cuts = sorted(set(cuts))
-    each = -(-wanted // n)
 
-    def within(k: int) -> Column:
-        lo, hi = cuts[k], cuts[k + 1] if k + 1 < len(cuts) else cuts[k] + 1
-        part = F.floor((F.col("doc_id") - F.lit(lo)) * F.lit(float(each) / max(1, hi - lo)))
-        return (F.lit(k * each) + F.least(F.greatest(part, F.lit(0)), F.lit(each - 1))).cast("int")
+def with_next(docs: DataFrame, text: str, derived: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, the text and columns derived from it, with those of the next row by ascending doc_id as next_<column>.
 
-    def search(lo: int, hi: int) -> Column:
-        if hi - lo == 1:
-            return within(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") < F.lit(cuts[mid]), search(lo, mid)).otherwise(search(mid, hi))
-
-    return F.coalesce(search(0, len(cuts)), F.lit(-1))
-
-
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows with columns of the next row by ascending doc_id (after the last: the first), as next_<column>.
-
-    Rows are dealt to buckets of neighbouring ids and sorted within them, so
-    that no task orders the whole table. A bucket's last row gets its successor
-    from a copy of the following bucket's first row; there is one for each of
-    the at most 65536 buckets. Rows of one doc_id go by their remaining columns;
-    null ids come first.
+    After the last row comes the first. Rows are dealt to buckets of
+    neighbouring ids and sorted within them, so that no task orders the whole
+    table. Buckets begin where Spark's range partitioning of ids and hashes of
+    texts says, so they are alike in size whatever the ids look like; ids may be
+    of any type that sorts, repeated or null. Null ids come first, rows of one id
+    go by their texts' hashes. Only rows that are equal in id and text cannot be
+    parted. A bucket's last row gets its successor from a copy of the following
+    bucket's first row; there is one for each bucket.
     """
-    docs = docs.select("doc_id", *columns)
-    rows = docs.count()
-    bucket = _bucketed(docs, rows)
-    narrow = docs.select("doc_id", bucket.alias("bucket"))
-    one = Window.orderBy("bucket")  # over at most 65536 rows, one a bucket
-    firsts = narrow.groupBy("bucket").agg(F.min("doc_id").alias("doc_id"))
-    heads = firsts.select(
-        F.col("bucket").alias("of"), "doc_id",
-        F.coalesce(F.lag("bucket").over(one), F.max("bucket").over(Window.partitionBy())).alias("bucket"),
-    )
-    tied = Window.partitionBy("bucket").orderBy(*columns)
-    copies = (
-        docs.alias("d").join(F.broadcast(heads.alias("h")), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")))
-        .select("d.doc_id", *(f"d.{c}" for c in columns), "h.bucket", F.lit(1).alias("copied"))
-        .withColumn("n", F.row_number().over(tied)).filter("n = 1").drop("n")
-    )
-    dealt = docs.withColumns({"bucket": bucket, "copied": F.lit(0)}).unionByName(copies)
-    order = Window.partitionBy("bucket").orderBy("copied", F.col("doc_id").asc_nulls_first(), *columns)
-    out = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
-    return out.filter("copied = 0").drop("copied", "bucket")
+    derived = derived or {}
+    rows = docs.select("doc_id", text, F.xxhash64(text).alias("th"))
+    order = ["doc_id", "th"]
+    starts = range_starts(rows, order, min(MAX_BUCKETS, max(1, -(-docs.count() // BUCKET_ROWS))))
+    kinds = [T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("th", T.LongType()), T.StructField("bucket", T.IntegerType())]
+    heads = docs.sparkSession.createDataFrame([(r.doc_id, r.th, (k or len(starts)) - 1) for k, r in enumerate(starts)], T.StructType(kinds))
+    first = rows.join(F.broadcast(heads.alias("h")), rows["doc_id"].eqNullSafe(F.col("h.doc_id")) & (rows["th"] == F.col("h.th")))
+    copies = first.groupBy("bucket").agg(*(F.first(rows[c]).alias(c) for c in ("doc_id", text, "th")))
+    dealt = rows.withColumns({"bucket": range_of(rows, order, starts).cast("int"), "copied": F.lit(0)}).unionByName(copies.withColumn("copied", F.lit(1)))
+    near = Window.partitionBy("bucket").orderBy("copied", F.col("doc_id").asc_nulls_first(), "th")
+    out = dealt.withColumns(derived)
+    names = [text, *derived]
+    return out.withColumns({f"next_{c}": F.lead(c).over(near) for c in names}).filter("copied = 0").select("doc_id", *names, *(f"next_{c}" for c in names))
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,22 +137,21 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Null texts count as empty. An empty set's fingerprint is empty, and two such
-    are alike by 1. Repeated rows and null ids are rows like others; with one
-    row the next document is itself. An empty table gives no rows. Other columns
-    are ignored.
+    are alike by 1. Repeated rows and null ids are rows like others, and ids
+    may be of any type that sorts; with one row the next document is itself. An
+    empty table gives no rows. Other columns are ignored. A text's signatures
+    are made once and go with it to the row before.
     """
     own = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    pairs = with_next(own, ["text"])
+    pairs = with_next(own, "text", {"signs": signatures(F.col("text"))})
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
-    told = pairs.select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"),
-        signatures(F.col("text")).alias("own"), signatures(edited).alias("edited"), signatures(F.col("next_text")).alias("next"),
-    )
+    told = pairs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "signs", "next_signs")
+    told = told.select("*", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), signatures(F.col("edited")).alias("edited_signs"))
     return told.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("signs")).alias("fingerprint"), fingerprint(F.col("edited_signs")).alias("edited_fingerprint"),
+        likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"), likeness(F.col("signs"), F.col("next_signs")).alias("near_next"),
     )
 
 

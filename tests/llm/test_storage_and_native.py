@@ -89,15 +89,18 @@ def brute_signatures(text):
     content = [i for i in range(len(w)) if not anchor[i]]
     out = set()
     for i in content:
-        if i and anchor[i - 1]:
-            later = [j for j in content if j >= i][: spotsigs.CHAIN]
-            if len(later) == spotsigs.CHAIN:
-                gaps = tuple((j - k > 1) and j - k for k, j in zip(later, later[1:], strict=False))
-                out.add((tuple(w[j] for j in later), gaps))
-    if out:
-        return out
-    k = min(spotsigs.CHAIN, len(w))
-    return {(tuple(w[i : i + k]), None) for i in range(len(w) - k + 1)} if w else set()
+        later = [j for j in content if j >= i][: spotsigs.STRETCH]
+        if i and anchor[i - 1] and len(later) >= spotsigs.CHAIN:
+            chain = later[: spotsigs.CHAIN]
+            gaps = tuple((j - k > 1) and j - k for k, j in zip(chain, chain[1:], strict=False))
+            out.add(("anchor", tuple(w[j] for j in chain), gaps))
+        if later == list(range(i, i + spotsigs.STRETCH)):
+            out.add(("stretch", tuple(w[i : i + spotsigs.CHAIN]), ()))
+    head = w[: spotsigs.SHORT]
+    out |= {("head", tuple(head[i : i + spotsigs.CHAIN]), ()) for i in range(len(head) - spotsigs.CHAIN + 1)}
+    # an anchored chain without gaps reads like a stretch of the same words
+    out = {("stretch" if kind == "anchor" and not any(gaps) else kind, words, tuple(map(int, gaps)) if any(gaps) else ()) for kind, words, gaps in out}
+    return out or ({("all", tuple(w), ())} if w else set())
 
 
 def like(a, b):
@@ -127,19 +130,39 @@ def test_fingerprints_are_brute_force(spark):
 def test_next_rows_over_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(spotsigs, "BUCKET_ROWS", 7)
     rng = random.Random(2)
-    ids = sorted(rng.sample(range(100), 60) + rng.sample(range(10**6, 10**9), 140))
+    ids = sorted(rng.sample(range(100), 60) + rng.sample(range(10**6, 10**9), 140) + [-(2**63), 2**63 - 1])
     shuffled = list(ids)
     rng.shuffle(shuffled)
-    docs = spark.createDataFrame([(i, f"t{i}") for i in shuffled], "doc_id long, text string")
-    got = {r.doc_id: r.next_text for r in spotsigs.with_next(docs, ["text"]).collect()}
-    assert got == {i: f"t{j}" for i, j in zip(ids, ids[1:] + ids[:1], strict=True)}
+    for kind in ("long", "string"):
+        names = [i if kind == "long" else f"{i:+020d}" for i in shuffled]
+        docs = spark.createDataFrame([(n, f"t{i}") for n, i in zip(names, shuffled, strict=True)], f"doc_id {kind}, text string")
+        got = {r.doc_id: r.next_text for r in spotsigs.with_next(docs, "text").collect()}
+        order = sorted(names)
+        texts = dict(zip(names, (f"t{i}" for i in shuffled), strict=True))
+        assert got == {n: texts[m] for n, m in zip(order, order[1:] + order[:1], strict=True)}
     one = spark.createDataFrame([(5, "a")], "doc_id long, text string")
-    assert spotsigs.with_next(one, ["text"]).first().next_text == "a"
+    assert spotsigs.with_next(one, "text").first().next_text == "a"
     assert spotsigs.edited_pairs(one.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, "n"), (5, "a"), (5, "a"), (5, "b"), (None, None)], "doc_id long, text string")
     assert spotsigs.edited_pairs(odd).count() == 5
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "wide"])
+def test_next_rows_of_many_rows(spark, ids):
+    """Above 4000 rows: null ids alone, one id alone, and ids at both ends of 64 bits."""
+    n = 4500
+    column = {"null": "cast(null as long)", "one": "7L", "wide": f"if(id % 2 = 0, {-(2**63) + 1}L + id, {2**63 - 1}L - id)"}[ids]
+    docs = spark.range(n).selectExpr(f"{column} as doc_id", "concat('t', id) as text")
+    got = spotsigs.with_next(docs, "text").collect()
+    after = {r.text: r.next_text for r in got}
+    assert len(got) == len(after) == n
+    at, seen = "t0", set()
+    while at not in seen:  # one ring through all rows
+        seen.add(at)
+        at = after[at]
+    assert len(seen) == n
+
+
 def test_near_pairs_are_brute_force(spark):
     rng = random.Random(7)
     texts = [words(rng, rng.randint(20, 90)) for _ in range(30)]
