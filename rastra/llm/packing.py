@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 
 from rastra.llm.common import LOWER_TABLE, prepare
 
+#: Tokens that a group leaves free, so that differencing seldom needs one more window.
+SLACK = 8
 #: Words kept in each of the two generations of the word cache.
 CACHE_WORDS = 300_000
 
@@ -82,6 +84,20 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
+def split(pieces: list[tuple], tokens: int) -> tuple[list[tuple], list[tuple]]:
+    """The pieces (document, start, ids, tokens of the document) of the first so many tokens, and the others; one may be cut."""
+    at = 0
+    for i, (doc, start, ids, total) in enumerate(pieces):
+        n = len(ids) // 4
+        if at + n > tokens:
+            if at == tokens:
+                return pieces[:i], pieces[i:]
+            cut = tokens - at
+            return [*pieces[:i], (doc, start, ids[: 4 * cut], total)], [(doc, start + cut, ids[4 * cut :], total), *pieces[i + 1 :]]
+        at += n
+    return list(pieces), []
+
+
 class WordTokenizer:
     """Ids of a text by a tokenizer that never joins what ASCII white space parts.
 
@@ -109,13 +125,13 @@ class WordTokenizer:
         """Ids of a word that isn't cached. A closing comma or full stop after a letter is a word of its own."""
         if (found := self.old.get(word)) is None:
             end = word[-1:]
-            if len(word) > 1 and end in b".," and word[-2:-1].isalpha():
+            if len(word) > 1 and end in b".," and word[-2:-1].isalpha():  # an ASCII letter
                 found = self._cached(word[:-1]) + self._cached(end)
             elif word.isalpha():
                 found = array("I", [t.id for t in self.model.tokenize(word.decode())]).tobytes()
             else:
                 text = word.decode("utf-8")
-                if len(word) > 1 and end in b".," and (c := text[-2]) < "ɐ" and c.isalpha():
+                if len(word) > 1 and end in b".," and (c := text[-2]) < "ɐ" and c != "İ" and c.isalpha():
                     found = self._cached(word[:-1]) + self._cached(end)
                 elif max(text) < "ɐ" and "İ" not in text and text.isalpha() and unicodedata.is_normalized("NFC", text):
                     raw = text.lower().encode().decode("latin-1").translate(self.byte_chars)
@@ -165,20 +181,26 @@ def pack(
     end_id: int = 1,
     piece: int = 512,
     group: int = 1024,
+    slack: int = SLACK,
 ) -> DataFrame:
     """Pack documents into sequences of at most ``capacity`` tokens; returns the pieces.
 
     A document is its text's ids and then ``end_id``. Its full windows become
     sequences at once. The rest is cut into pieces of at most ``piece`` tokens;
     each ``group`` of pieces is dealt to near-equal windows (see ``windows``).
+    A group is cut to ``slack`` tokens less than some number of whole windows,
+    and what is over goes on in the next group. Of the partition's last group,
+    what is left beyond whole windows is cut to sequences of powers of two,
+    which need no padding.
 
     Columns: doc_id, start (ids of its document before it), length, token_ids
     (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset (in the
     sequence, without gaps from 0). Sequence ids are unique but not dense.
 
     Null and empty texts are documents of the closing id alone. Null ids and
-    repeated rows are kept, each row as a document of its own. An empty table
-    gives no rows. Other columns are ignored.
+    repeated rows are kept, each row as a document of its own. Words go to the
+    tokenizer as they are, however long. An empty table gives no rows. Other
+    columns are ignored.
     """
     prepare(docs.sparkSession)
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
@@ -193,6 +215,7 @@ def pack(
         kind, names = None, ["doc_id", "start", "length", "token_ids", "doc_tokens", "sequence_id", "offset"]
         out: list[tuple] = []
         rest: list[tuple] = []
+        held = 0  # tokens of the rest
 
         def batch() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True))
@@ -200,15 +223,26 @@ def pack(
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-        def deal() -> None:
+        def emit(w: list[tuple]) -> None:
             nonlocal seq
-            for w in windows([len(r[2]) // 4 for r in rest], capacity):
-                seq, at = seq + 1, 0
-                for i in sorted(w):
-                    doc, start, ids, total = rest[i]
-                    out.append((doc, start, len(ids) // 4, ids, total, seq, at))
-                    at += len(ids) // 4
-            rest.clear()
+            seq, at = seq + 1, 0
+            for doc, start, ids, total in w:
+                out.append((doc, start, len(ids) // 4, ids, total, seq, at))
+                at += len(ids) // 4
+
+        def deal(last: bool = False) -> None:
+            whole = max(0, sum(len(r[2]) // 4 for r in rest) // capacity * capacity - (0 if last else slack))
+            now, over = split(rest, whole)
+            rest[:] = over
+            for w in windows([len(r[2]) // 4 for r in now], capacity):
+                emit([now[i] for i in sorted(w)])
+            if last:
+                left = sum(len(r[2]) // 4 for r in rest)
+                for k in reversed(range(left.bit_length())):
+                    if left >> k & 1:
+                        now, over = split(rest, 1 << k)
+                        rest[:] = over
+                        emit(now)
 
         for b in batches:
             kind = b.schema.field("doc_id").type
@@ -222,11 +256,13 @@ def pack(
                 for start in range(full, total, piece):
                     stop = min(start + piece, total)
                     rest.append((doc, start, ids[4 * start : 4 * stop], total))
-                if len(rest) >= group:
+                held += total - full
+                if len(rest) >= group and held >= 2 * capacity:
                     deal()
+                    held = sum(len(r[2]) // 4 for r in rest)
                 if len(out) >= 2000:
                     yield batch()
-        deal()
+        deal(last=True)
         if out:
             yield batch()
 
