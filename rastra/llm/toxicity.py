@@ -47,11 +47,12 @@ FEATURES = (
 
 #: Rows of the labelled sample, at most.
 SAMPLE_ROWS = 20_000
-#: Taught terms, at most, and the least log-likelihood ratio of one.
-TERMS, TERM_RATIO = 512, 30.0
+#: The least log-likelihood ratio of a taught term. The sample bounds how many there can be.
+TERM_RATIO = 30.0
 NEAR_WORDS = 4
 
-_MIXED = re.compile(rb"[a-z]+(?:[0-9@$!*#_.-]+[a-z]+)+|[0-9@$]+[a-z]+[a-z0-9@$!*#_.-]*[a-z0-9]")
+# no match starts within a run that an earlier start has tried, so the time goes with the text's length
+_MIXED = re.compile(rb"(?<![a-z])[a-z]++(?:[0-9@$!*#_.-]++[a-z]++)++|(?<![0-9@$])[0-9@$]++[a-z]+[a-z0-9@$!*#_.-]*[a-z0-9]")
 _STRETCHED = re.compile(rb"([a-z])\1\1")
 _CAPITALS = re.compile(rb"(?<![A-Za-z])[A-Z]{3,}(?![A-Za-z])")
 _LEET = bytes.maketrans("".join(LEET).encode(), "".join(LEET.values()).encode())
@@ -69,7 +70,7 @@ def _clipped(word: bytes, n: int) -> bytes:
     """The first n characters of a word, or nothing if it is not longer."""
     if len(word) <= n:
         return b""
-    cut = word[:n] if word.isascii() else word.decode("utf-8", "ignore")[:n].encode()
+    cut = word[:n] if word[: 4 * n].isascii() else word[: 4 * n].decode("utf-8", "ignore")[:n].encode()
     return b"" if cut == word else cut
 
 
@@ -131,7 +132,7 @@ def features(data: bytes, terms: Terms) -> list[float]:
 
 @dataclass
 class Model:
-    """A fitted scorer, small enough to broadcast: at most 512 terms and fixed numbers of trees."""
+    """A fitted scorer, small enough to broadcast: the sample's terms of high ratios and fixed numbers of trees."""
 
     terms: Terms
     trees: BoostedTrees | None
@@ -179,7 +180,7 @@ def _teach(sample: DataFrame, toxic: int, clean: int) -> Terms:
     found = (
         _count_terms(sample).filter("toxic >= 3").select("term", ratio.alias("ratio"), odds.alias("odds"))
         .filter((F.col("ratio") >= TERM_RATIO) & (F.col("odds") > 1.5))
-        .orderBy(F.desc("ratio"), "term").limit(TERMS).collect()
+        .collect()
     )
     return Terms.of({bytes(r.term): float(r.odds) for r in found})
 
@@ -204,19 +205,25 @@ def train(
     learn_from=None,
     sample_rows: int = SAMPLE_ROWS,
 ) -> Model:
-    """Fit the scorer on at most ``sample_rows`` labelled documents, those of the least id hashes.
-
-    ``learn_from`` is a condition on the label table's rows. Rows of null ids or
-    labels teach nothing; of repeated label rows the largest label holds. If the
-    sample lacks either label, the model scores by the fixed insults alone.
+    """Fit the scorer on at most ``sample_rows`` labelled texts, those of the least hashes.
+
+    ``learn_from`` is a condition on the label table's rows. Rows of null ids,
+    and of labels that are null or neither 0 nor 1, teach nothing; of repeated
+    label rows the largest label holds. Each text of a labelled id counts once,
+    however often its row is repeated, and different texts of one id count
+    each. If the sample lacks either label, the model scores by the fixed
+    insults alone.
     """
     prepare(docs.sparkSession)
     rows = labels.filter(learn_from) if learn_from is not None else labels
-    rows = rows.select(rows[id_col].alias("id"), rows[label_col].cast("int").alias("y")).filter("id is not null and y is not null")
-    each = materialize(rows.groupBy("id").agg(F.least(F.max("y"), F.lit(1)).alias("y")).withColumn("key", F.xxhash64("id")), "labels")
+    rows = rows.select(rows[id_col].alias("id"), rows[label_col].cast("int").alias("y")).filter("id is not null and y in (0, 1)")
+    each = materialize(rows.groupBy("id").agg(F.max("y").alias("y")), "labels")
     picked = about(each, "id", sample_rows, each.count())  # bounded, so it may be broadcast
-    own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    sample = materialize(own.join(F.broadcast(picked), "id").select("text", "y", "key"), "sample")
+    own = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(F.broadcast(picked), "id")
+    # as many rows as picked labels, but where ids are repeated
+    texts = materialize(own.groupBy("id", "y", F.xxhash64("id", "text").alias("key")).agg(F.first("text").alias("text")), "texts")
+    n = texts.count()
+    sample = texts if n <= sample_rows else materialize(about(texts, "key", sample_rows, n), "sample")
     count = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     toxic, clean = count.get(1, 0), count.get(0, 0)
     if min(toxic, clean) < 3:
