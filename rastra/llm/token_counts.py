@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastra.llm.common import prepare
+from rastra.llm.common import materialize, prepare
 from rastra.llm.versions import Versions
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -93,14 +93,19 @@ class TokenCounts:
 
     def apply(self, batch_id: str, deltas: DataFrame) -> bool:
         """Add a batch's deltas to the totals, unless it was applied before; tells whether it was added."""
-        version = self.versions.latest()
-        if self.batches(version).filter(F.col("batch_id") == batch_id).limit(1).count():
-            return False
+        added = True
         sums = lambda d: d.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        new = sums(self.totals(version).unionByName(sums(deltas))).filter("n_docs <> 0 or n_tokens <> 0")
-        staged = self.versions.staging()
-        new.write.parquet(f"{staged}/totals")
-        one = self.spark.createDataFrame([(batch_id,)], "batch_id string")
-        self.batches(version).unionByName(one).coalesce(1).write.parquet(f"{staged}/batches")
-        self.versions.commit(staged, version + 1)
-        return True
+        own = materialize(sums(deltas), "deltas")
+
+        def write(last: int, staged: str) -> None:
+            nonlocal added
+            added = not self.batches(last).filter(F.col("batch_id") == batch_id).limit(1).count()
+            new = sums(self.totals(last).unionByName(own)) if added else self.totals(last)
+            new.filter("n_docs <> 0 or n_tokens <> 0").write.parquet(f"{staged}/totals")
+            one = self.spark.createDataFrame([(batch_id,)] * added, "batch_id string")
+            self.batches(last).unionByName(one).coalesce(1).write.parquet(f"{staged}/batches")
+
+        if self.batches().filter(F.col("batch_id") == batch_id).limit(1).count():
+            return False
+        self.versions.update(write)
+        return added

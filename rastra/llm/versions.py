@@ -1,9 +1,17 @@
-"""Atomic commits of versioned folders: a staged folder becomes version N + 1 by one rename."""
+"""Atomic commits of versioned folders: a staged folder becomes version N + 1 by one rename.
+
+That needs a store whose rename of a folder is atomic and fails if the target is
+there, such as HDFS or a shared POSIX file system. Object stores copy instead:
+there the root of the versions must be on a store that renames; the data that
+they list may be anywhere.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import SparkSession
 
 
@@ -39,3 +47,17 @@ class Versions:
         files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self._conf)
         none = self.spark.sparkContext._gateway.new_array(getattr(self._jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
         files.rename(self._path(staged), target, none)
+
+    def update(self, write: Callable[[int, str], object]) -> int:
+        """Commit what ``write(last version, staging path)`` makes, anew after each version that a rival has got in first."""
+        while True:
+            last, staged = self.latest(), self.staging()
+            write(last, staged)
+            try:
+                self.commit(staged, last + 1)
+                return last + 1
+            except Exception:
+                root = self._path(staged)
+                root.getFileSystem(self._conf).delete(root, True)
+                if self.latest() == last:  # not a rival's doing
+                    raise
