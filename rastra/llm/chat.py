@@ -12,13 +12,18 @@ on the narrow columns and joined on the same keys.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Marks of the chat format.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def _plain(text: Column) -> Column:
+    """A text in which no mark of the format begins."""
+    return F.replace(text, F.lit("<|im_"), F.lit("<| im_"))
+
+
 def rotate(
     turns: DataFrame,
     conv_col: str = "conv_id",
@@ -37,6 +42,10 @@ def rotate(
     their closing marks. A conversation's parts in order of block and part make
     up the whole dialogue.
 
+    Marks of the format within texts or roles are broken up (``<|im_`` becomes
+    ``<| im_``), and line ends within roles become spaces, so that nothing that
+    was said reads as a turn. The mask's lengths are those of the rendering.
+
     Turns go by number, then role, then text, nulls first, so ties and repeated
     rows have a fixed order and are all kept. Null texts are empty, null roles
     speak as "unknown", null turn numbers come first, in block 0. The system
@@ -47,7 +56,7 @@ def rotate(
     """
     own = turns.select(
         turns[conv_col].alias("conv_id"), turns[turn_col].cast("long").alias("turn"),
-        F.coalesce(turns[role_col], F.lit("unknown")).alias("role"), F.coalesce(turns[text_col], F.lit("")).alias("text"),
+        _plain(F.translate(F.coalesce(turns[role_col], F.lit("unknown")), "\r\n", "  ")).alias("role"), _plain(F.coalesce(turns[text_col], F.lit(""))).alias("text"),
     ).withColumn("block", F.coalesce(F.floor(F.col("turn") / F.lit(float(part_turns))), F.lit(0)).cast("long"))
     speakers = own.filter(F.col("role") != system_role).select("conv_id", F.col("role").alias("participant")).distinct()
     blocks = own.select(F.col("conv_id").alias("c"), F.col("block").alias("b")).distinct()

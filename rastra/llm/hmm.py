@@ -13,12 +13,13 @@ training texts. Expected counts of the most frequent words are summed to one row
 for each, which the driver gets and broadcasts. Those of all other words are
 kept in a distributed table, dealt by the word's 64-bit hash: a block sends its
 words' counts there and gets their sums back, so that nothing that grows with
-the vocabulary is broadcast. A first guess of the states comes from a mixture of
-unigrams over a small sample; the rounds themselves read everything.
+the vocabulary is broadcast. These sums are kept to 16 bits of mantissa, and the
+model's emissions are shares of the sums as kept, so they add up to one. The
+states start as the parts of a mixture of unigrams, whose steps read all
+training texts too, from parts that lean to words at random.
 
-Scoring: the scaled forward recursion in double precision; sums of the other
-words come back in single precision. For the unigrams, counts of words beyond
-the broadcast head come by a join on the word.
+Scoring: the scaled forward recursion in double precision. For the unigrams,
+counts of words beyond the broadcast head come by a join on the word.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastra.llm.common import LOWER_TABLE, about, delete_path, materialize, prepare, scratch
+from rastra.llm.common import LOWER_TABLE, delete_path, materialize, prepare, scratch
 
 #: No word holds a space.
 END = b" "
@@ -45,12 +46,13 @@ CLASSES, SUFFIX = 256, 3
 #: Words whose counts are broadcast, and those of them whose emissions are; the others' are in a distributed table.
 HEAD_WORDS, MODEL_WORDS = 150_000, 32_000
 STATES, ROUNDS = 8, 3
-#: Texts, and their most frequent words, that the first guess looks at.
-GUESS_TEXTS, GUESS_WORDS = 1000, 4096
+#: Steps of the mixture that the states start from, how far its first parts lean to words (a factor's logarithm), and
+#: the most frequent words, which its parts tell texts apart by.
+GUESS_ROUNDS, LEAN, GUESS_WORDS = 4, 0.5, MODEL_WORDS
 #: Tokens that the recursions hold at a time, unless one text has more.
-BATCH_TOKENS = 300_000
+BATCH_TOKENS = 500_000
 #: Tokens of a block of texts, unless one text has more, and words (one for each of its blocks) of a part of the table.
-BLOCK_TOKENS, PART_WORDS = 5_000_000, 500_000
+BLOCK_TOKENS, PART_WORDS = 6_000_000, 500_000
 
 
 def tokens_of(data: bytes) -> list[bytes]:
@@ -148,6 +150,22 @@ def _joined(data: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(dtype).ravel()
 
 
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Single precision with 16 bits of mantissa."""
+    return ((x.astype("<f4").view("<u4") + np.uint32(0x80)) & np.uint32(0xFFFFFF00)).view("<f4")
+
+
+def _short(x: np.ndarray) -> bytes:
+    """Numbers that ``_rounded`` gave, in planes of their three bytes."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4)[:, 1:].T.tobytes()
+
+
+def _unshort(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, 1:] = np.frombuffer(data, np.uint8).reshape(3, -1).T
+    return out.view("<f4").ravel()
+
+
 def indexed(docs: DataFrame, held: Broadcast) -> DataFrame:
     """For each text: a unique key, its block, its ids (unsigned 32-bit, in planes of bytes), sums over tokens, and the words beyond the head.
 
@@ -223,7 +241,7 @@ def _packed(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, n
         lengths = np.array([len(texts[i]) for i in took])
         reach = np.searchsorted(-lengths, -np.arange(longest), side="left")
         begin = np.concatenate(([0], np.cumsum(reach)))
-        flat = np.empty(begin[-1], np.int64)
+        flat = np.empty(begin[-1], np.int32)
         for row, i in enumerate(took):
             flat[begin[: len(texts[i])] + row] = texts[i]
         yield np.array(took), flat, begin
@@ -273,7 +291,7 @@ def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 def _texts(column: pa.Array) -> list[np.ndarray]:
-    return [_joined(x, "<u4").astype(np.int64) for x in column.to_pylist()]
+    return [_joined(x, "<i4") for x in column.to_pylist()]
 
 
 @dataclass
@@ -292,9 +310,9 @@ def _with_rest(model: Model, rest: Rest, vocab: np.ndarray, sums: pa.Table | Non
     more = np.ones((len(vocab), k), dtype)
     if rest.mass is not None:
         told = sorted(zip(sums.column("part").to_pylist(), sums.column("sums").to_pylist(), strict=True))
-        met = np.empty((len(vocab), k))
-        met[order] = np.concatenate([np.empty(0, np.float32), *(_joined(x, "<f4") for _, x in told)]).reshape(-1, k)
-        more = ((met + 10 * (met.sum(axis=1, keepdims=True) + 1) / rest.total) / rest.mass).astype(dtype)
+        met = np.concatenate([np.empty(0, np.float32), *(_unshort(x) for _, x in told)]).reshape(-1, k)
+        count = met.sum(axis=1, keepdims=True, dtype=np.float64)
+        more[order] = (met + 10 * (count + 1) / rest.total) / rest.mass
     return Model(model.start, model.step, np.concatenate((np.ascontiguousarray(model.emit.T), more)).T), order
 
 
@@ -306,23 +324,29 @@ def _by_block(rows: DataFrame, sums: DataFrame | None, run, schema: str) -> Data
 
 
 def _summed(found: DataFrame, k: int) -> DataFrame:
-    """For each block and part, the sums over all blocks of the words that the block sent there, in its order."""
+    """For each block and part, the sums over all blocks of the words that the block sent there, in its order.
+
+    One more row a part, of no block, has the total of the part's words for each
+    state, as kept.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         hashes = [np.frombuffer(x, "<u8") for x in table.column("vocab").to_pylist()]
-        counts = np.concatenate([_joined(x, "<f4") for x in table.column("sums").to_pylist()]).reshape(-1, k)
-        _, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        sums = np.stack([np.bincount(at, counts[:, s]) for s in range(k)], axis=1).astype(np.float32)
+        counts = np.concatenate([_unshort(x) for x in table.column("sums").to_pylist()]).reshape(-1, k)
+        words, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        sums = np.stack([_rounded(np.bincount(at, counts[:, s], len(words))) for s in range(k)], axis=1)
         ends = np.cumsum([0, *map(len, hashes)])
-        out = [_planes(sums[at[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "sums": pa.array(out, pa.binary())})
+        out = [_short(sums[at[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        own = pa.table({"block": table.column("block"), "part": table.column("part"), "sums": pa.array(out, pa.binary()), "mass": pa.nulls(len(out), pa.list_(pa.float64()))})
+        told = [[None], [table.column("part")[0].as_py()], [None], [sums.sum(axis=0, dtype=np.float64).tolist()]]
+        return pa.concat_tables([own, pa.table([pa.array(x, t) for x, t in zip(told, own.schema.types, strict=True)], names=own.schema.names)])
 
     sent = found.filter("part is not null").select("block", "part", "vocab", "sums")
-    return sent.groupBy("part").applyInArrow(run, "block long, part long, sums binary")
+    return sent.groupBy("part").applyInArrow(run, "block long, part long, sums binary, mass array<double>")
 
 
 def baum_welch(table: DataFrame, model: Model, unigram: np.ndarray, rest: Rest, sums: DataFrame | None) -> tuple[Model, Rest, DataFrame, str]:
-    """One round over all training texts: the next model, its sums of other words, and the path of what the round wrote."""
+    """One round over all training texts: the next model, its sums of other words, and the path of these."""
     spark = table.sparkSession
     held = spark.sparkContext.broadcast(
         (Model(model.start.astype(np.float32), model.step.astype(np.float32), model.emit.astype(np.float32)), rest)
@@ -334,38 +358,41 @@ def baum_welch(table: DataFrame, model: Model, unigram: np.ndarray, rest: Rest,
         full, order = _with_rest(*held.value, vocab, told)
         start, step, emitted, _ = expected_counts(full, _texts(own.column("ids").drop_null()))
         seen = np.flatnonzero(emitted[:, :size].any(axis=0))
-        names = np.concatenate([[-1, -2], np.arange(-10, -10 - k, -1), seen])
-        rows = np.vstack([start, emitted[:, size:].sum(axis=1), step, emitted[:, seen].T])
+        names = np.concatenate([[-1], np.arange(-10, -10 - k, -1), seen])
+        rows = np.vstack([start, step, emitted[:, seen].T])
         parts, begin = np.unique((vocab % np.uint64(held.value[1].parts))[order], return_index=True)
         ends = [*begin.tolist(), len(order)]
-        more, n, m = emitted[:, size:].T.astype(np.float32), len(names), len(parts)
+        more, n, m = _rounded(emitted[:, size:].T), len(names), len(parts)
         chosen = [order[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        cols = {"id": pa.array([*names.tolist(), *[None] * m], pa.int64())}
-        cols |= {f"s{s}": pa.array([*rows[:, s].tolist(), *[None] * m], pa.float64()) for s in range(k)}
-        cols |= {"block": pa.array([own.column("block")[0].as_py()] * (n + m), pa.int64()), "part": pa.array([*[None] * n, *parts.tolist()], pa.int64())}
-        cols["vocab"] = pa.array([*[None] * n, *(vocab[c].tobytes() for c in chosen)], pa.binary())
-        cols["sums"] = pa.array([*[None] * n, *(_planes(more[c]) for c in chosen)], pa.binary())
+        missing = lambda count, kind: pa.nulls(count, kind)
+        cols = {"id": pa.concat_arrays([pa.array(names, pa.int64()), missing(m, pa.int64())])}
+        cols |= {f"s{s}": pa.concat_arrays([pa.array(rows[:, s]), missing(m, pa.float64())]) for s in range(k)}
+        cols |= {"block": pa.array(np.full(n + m, own.column("block")[0].as_py())), "part": pa.concat_arrays([missing(n, pa.int64()), pa.array(parts.astype(np.int64))])}
+        cols["vocab"] = pa.concat_arrays([missing(n, pa.binary()), pa.array([vocab[c].tobytes() for c in chosen], pa.binary())])
+        cols["sums"] = pa.concat_arrays([missing(n, pa.binary()), pa.array([_short(more[c]) for c in chosen], pa.binary())])
         return pa.table(cols)
 
     rows = table.filter("train or key is null").select("block", "ids", "vocab")
     schema = "id long, " + ", ".join(f"s{s} double" for s in range(k)) + ", block long, part long, vocab binary, sums binary"
-    path = scratch(spark, "round")
-    _by_block(rows, sums, run, schema).write.parquet(path)
-    written = spark.read.schema(schema).parquet(path)
+    sent, path = scratch(spark, "sent"), scratch(spark, "sums")
+    _by_block(rows, sums, run, schema).write.parquet(sent)
+    written = spark.read.schema(schema).parquet(sent)
     found = written.filter("id is not null").groupBy("id").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(k))).toArrow()
-    start, step, emitted, other = np.ones(k), np.full((k, k), 0.1), np.tile(unigram * 10, (k, 1)), np.zeros(k)
+    start, step, emitted = np.ones(k), np.full((k, k), 0.1), np.tile(unigram * 10, (k, 1))
     ids, met = found.column("id").to_numpy(), np.stack([found.column(f"s{s}").to_numpy() for s in range(k)], axis=1)
     emitted[:, ids[ids >= 0]] += met[ids >= 0].T
     for i in np.flatnonzero(ids < 0):
         if ids[i] == -1:
             start += met[i]
-        elif ids[i] == -2:
-            other = met[i]
         else:
             step[-10 - ids[i]] += met[i]
-    mass = emitted.sum(axis=1) + other + 10 * (1 - unigram.sum())
+    _summed(written, k).write.parquet(path)
+    delete_path(spark, sent)
+    kept = spark.read.schema("block long, part long, sums binary, mass array<double>").parquet(path)
+    other = kept.filter("block is null").agg(*(F.sum(F.get("mass", F.lit(s))) for s in range(k))).first()
+    mass = emitted.sum(axis=1) + np.array([x or 0.0 for x in other]) + 10 * (1 - unigram.sum())
     norm = lambda x: x / x.sum(axis=-1, keepdims=True)
-    return Model(norm(start), norm(step), emitted / mass[:, None]), Rest(rest.parts, rest.total, mass), _summed(written, k), path
+    return Model(norm(start), norm(step), emitted / mass[:, None]), Rest(rest.parts, rest.total, mass), kept.filter("block is not null").drop("mass"), path
 
 
 def _unigram(head: Head, total: float) -> np.ndarray:
@@ -373,47 +400,69 @@ def _unigram(head: Head, total: float) -> np.ndarray:
     return 10 ** head.log_count[: head.words + 1] / total
 
 
-def first_guess(table: DataFrame, unigram: np.ndarray, states: int, total: int, texts: int = GUESS_TEXTS, seed: int = 11) -> Model:
-    """States that emit like the parts of a mixture of unigrams, fitted to a bounded sample of the ``total`` training texts."""
-    size = len(unigram)
-    top = np.argsort(-unigram, kind="stable")[:GUESS_WORDS]
-    place = np.full(size, -1)
-    place[top] = np.arange(len(top))
+def _mixture_step(table: DataFrame, weight: np.ndarray, logs: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Over all training texts: the parts' expected numbers of texts and counts of words.
+
+    ``logs`` has the parts' log emissions; ``place`` a row of it for each id of
+    the model and, last, for all others, which is past the end if it has no say.
+    """
+    parts, size = logs.shape
+    held = table.sparkSession.sparkContext.broadcast((np.concatenate([logs.T, np.zeros((1, parts))]).astype(np.float32), place))
+
+    def add(texts: list[np.ndarray], counts: np.ndarray, met: np.ndarray) -> None:
+        emit, place = held.value
+        flat = place[np.minimum(np.concatenate(texts), len(place) - 1)]
+        lengths = np.array([len(t) for t in texts])
+        own = np.add.reduceat(emit[flat], np.concatenate(([0], np.cumsum(lengths)[:-1])), axis=0, dtype=np.float64) + weight
+        own = np.exp(own - own.max(axis=1, keepdims=True))
+        own /= own.sum(axis=1, keepdims=True)
+        met += own.sum(axis=0)
+        for s in range(parts):
+            counts[s] += np.bincount(flat, np.repeat(own[:, s], lengths), size + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, met = np.zeros((parts, size + 1)), np.zeros(parts)
         for b in batches:
-            words, met = [], []
-            for x in _texts(b.column("ids")):
-                at = place[x[x < size]]
-                w, m = np.unique(at[at >= 0], return_counts=True)
-                words.append(w)
-                met.append(m)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.int64())), pa.array(met, pa.list_(pa.int64()))], ["w", "m"])
-
-    picked = about(table.filter("train").select("key", "ids"), "key", texts, total)
-    rows = picked.select("ids").mapInArrow(run, "w array<long>, m array<long>").toArrow()
+            texts, n = [], 0
+            for text in _texts(b.column("ids")):
+                texts.append(text)
+                n += len(text)
+                if n >= BATCH_TOKENS:
+                    add(texts, counts, met)
+                    texts, n = [], 0
+            if texts:
+                add(texts, counts, met)
+        seen = np.flatnonzero(counts[:, :size].any(axis=0))
+        cols = [np.concatenate([[-1], seen]), *(np.concatenate([[met[s]], counts[s, seen]]) for s in range(parts))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", *(f"s{s}" for s in range(parts))])
+
+    rows = table.filter("train").select("ids").mapInArrow(run, "id long, " + ", ".join(f"s{s} double" for s in range(parts)))
+    found = rows.groupBy("id").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(parts))).toArrow()
+    ids, sums = found.column("id").to_numpy(), np.stack([found.column(f"s{s}").to_numpy() for s in range(parts)])
+    counts = np.zeros((parts, size))
+    counts[:, ids[ids >= 0]] = sums[:, ids >= 0]
+    return sums[:, ids < 0].sum(axis=1), counts
+
+
+def first_guess(table: DataFrame, unigram: np.ndarray, states: int, rounds: int = GUESS_ROUNDS, seed: int = 11) -> Model:
+    """States that emit like the parts of a mixture of unigrams over all training texts.
+
+    The first parts emit each word a little more or less than the unigrams do,
+    by a seed, and so divide the texts; each step fits them to all texts.
+    """
+    rng, size = np.random.default_rng(seed), len(unigram)
+    top = np.argsort(-unigram, kind="stable")[:GUESS_WORDS]
+    place = np.full(size + 1, len(top))
+    place[top] = np.arange(len(top))
+    own = unigram[top]
+    part = own * np.exp(LEAN * rng.choice([-1.0, 1.0], (states, len(top))))
+    weight = np.full(states, 1 / states)
+    for _ in range(rounds):
+        met, counts = _mixture_step(table, np.log(weight), np.log(part / part.sum(axis=1, keepdims=True)), place)
+        weight = (met + 1) / (met.sum() + states)
+        part = counts + 10 * own
     emit = np.tile(unigram, (states, 1))
-    if len(rows):
-        x = np.zeros((len(rows), len(top)), np.float32)
-        for i, (w, m) in enumerate(zip(rows.column("w"), rows.column("m"), strict=True)):
-            x[i, w.values.to_numpy()] = m.values.to_numpy()
-        x = x[np.lexsort(x[:, :64].T)]
-        rng = np.random.default_rng(seed)
-        shares = (x + unigram[top]) / (x.sum(axis=1, keepdims=True) + 1)
-        roots = np.sqrt(shares)
-        picks = [int(rng.integers(len(x)))]
-        for _ in range(states - 1):  # each next one is drawn by its distance from those before
-            far = np.min([((roots - roots[p]) ** 2).sum(axis=1) for p in picks], axis=0) * (x.sum(axis=1) > 20) + 1e-9
-            picks.append(int(rng.choice(len(x), p=far / far.sum())))
-        part, weight = shares[picks] + unigram[top], np.full(states, 1 / states)
-        for _ in range(15):
-            part /= part.sum(axis=1, keepdims=True)
-            logs = x @ np.log(part).T + np.log(weight)
-            own = np.exp(logs - logs.max(axis=1, keepdims=True))
-            own /= own.sum(axis=1, keepdims=True)
-            weight = (own.sum(axis=0) + 1) / (len(x) + states)
-            part = own.T @ x + 10 * unigram[top]
-        emit[:, top] = part / part.sum(axis=1, keepdims=True) * unigram[top].sum()
+    emit[:, top] = part / part.sum(axis=1, keepdims=True) * own.sum()
     step = np.full((states, states), 0.04 / max(1, states - 1))
     np.fill_diagonal(step, 0.96 if states > 1 else 1.0)
     return Model(np.full(states, 1 / states), step, emit)
@@ -469,7 +518,7 @@ def _score(own: DataFrame, states: int, rounds: int, head_words: int, model_word
     total = float((10 ** head.log_count[: head.words + 1]).sum() + head.class_total.sum())
     unigram = _unigram(head, total)
     words = table.filter("key is null").agg(F.coalesce(F.sum(F.length("vocab")), F.lit(0))).first()[0] // 8
-    model, rest, sums, was = first_guess(table, unigram, states, int(round(10 ** head.log_count[0])) - 1), Rest(1 + words // PART_WORDS, total), None, None
+    model, rest, sums, was = first_guess(table, unigram, states), Rest(1 + words // PART_WORDS, total), None, None
     for _ in range(rounds):
         model, rest, sums, path = baum_welch(table, model, unigram, rest, sums)
         if was:

@@ -83,48 +83,39 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Tokenizer versions of the token counts, and their files.
+COUNTED = {"word-bpe-49k": "word_bpe_49k.json", "byte-bpe-50k": "byte_bpe_50k.tiktoken"}
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after five batches over all documents, the last of which is delivered twice.
 
     Inserts with an estimate of a token for four characters; revised counts; the
-    inserts of a second tokenizer version; deletes of repeated texts in both.
+    inserts of a second tokenizer version; deletes of repeated texts in both. Of
+    a repeated text the rows of its least id stay, and all of them if every id
+    is null.
     """
-    words, letters = "space-words-1", "letter-words-1"
+    import public_tokenizers
+
+    words, pieces = COUNTED
     text = F.coalesce("text", F.lit(""))
-    counts = materialize(
-        table(spark, sf_dir, "documents").select(
-            "doc_id", "source", "lang", F.floor(F.length(text) / 4).cast("long").alias("estimate"), F.sha2(text.cast("binary"), 256).alias("sha"),
-            token_counts.pattern_count(text, words).alias("words"), token_counts.pattern_count(text, letters).alias("letters"),
-        ),
-        "counts",
+    own = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", F.floor(F.length(text) / 4).cast("long").alias("estimate"), F.sha2(text.cast("binary"), 256).alias("sha"), text.alias("text")
     )
+    files = {name: public_tokenizers.path(file) for name, file in zip(("words", "pieces"), COUNTED.values(), strict=True)}
+    counts = materialize(token_counts.with_counts(own, files), "counts")
     first = counts.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("met"))
-    repeated = join_hot(counts, first.filter("met > 1"), ["sha"], "met", counts.count()).filter("doc_id <> first")
+    repeated = join_hot(counts, first.filter("met > 1"), ["sha"], "met", counts.count()).filter("not (doc_id <=> first)")
     col, kept = F.col, token_counts.TokenCounts(spark, scratch(spark, "token-counts"))
     kept.apply("insert", token_counts.inserts(counts, words, col("estimate")))
     kept.apply("revise", token_counts.revisions(counts, words, col("estimate"), col("words")))
-    kept.apply("insert-letters", token_counts.inserts(counts, letters, col("letters")))
-    gone = token_counts.deletes(repeated, words, col("words")).unionByName(token_counts.deletes(repeated, letters, col("letters")))
+    kept.apply("insert-pieces", token_counts.inserts(counts, pieces, col("pieces")))
+    gone = token_counts.deletes(repeated, words, col("words")).unionByName(token_counts.deletes(repeated, pieces, col("pieces")))
     for _ in range(2):
         kept.apply("delete-repeated", gone)
     return kept.totals()
 
 
-OP5_SQL = r"""
-WITH first AS (
-  SELECT coalesce(text, '') AS text, source, lang, doc_id = min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept FROM documents
-), counted AS (
-  SELECT source, lang,
-    len(regexp_extract_all(text, '[^\x09-\x0D\x20]+')) AS words,
-    len(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS letters
-  FROM first WHERE kept
-)
-SELECT source, lang, 'space-words-1' AS tokenizer, count(*) AS n_docs, CAST(sum(words) AS BIGINT) AS n_tokens FROM counted GROUP BY 1, 2
-UNION ALL
-SELECT source, lang, 'letter-words-1', count(*), CAST(sum(letters) AS BIGINT) FROM counted GROUP BY 1, 2
-"""
-
-
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
@@ -193,7 +184,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 WITH own AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+  SELECT conv_id, turn, replace(translate(coalesce(role, 'unknown'), chr(13) || chr(10), '  '), '<|im_', '<| im_') AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text,
     coalesce(CAST(floor(turn / 256.0) AS BIGINT), 0) AS block
   FROM conversations
 ), numbered AS (
@@ -229,7 +220,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op2_sharding": OP2_SQL,
-    "op5_token_counts": OP5_SQL,
     "op6_benchmark_decontamination": OP6_SQL,
     "op8_warc": OP8_SQL,
     "op10_chat_formatting": OP10_SQL,

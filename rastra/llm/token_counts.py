@@ -9,12 +9,15 @@ those of earlier ones.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rastra.llm.common import materialize, prepare
 from rastra.llm.versions import Versions
@@ -34,25 +37,59 @@ def pattern_count(text: Column, tokenizer: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(PATTERNS[tokenizer])), F.lit(0)).cast("long")
 
 
-def bpe_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and n_tokens by a tokenizer file that white space parts (see packing.WordTokenizer)."""
-    prepare(docs.sparkSession)
-    own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counter(path: str):
+    """A function from UTF-8 data to its number of ids, by a tokenizer file: word BPE (.json) or ranks of byte BPE (.tiktoken)."""
+    if path.endswith(".json"):
         from rastra.llm.packing import tokenizer
 
         tok = tokenizer(path)
+        return lambda data: len(tok.ids(data)) // 4
+    encoding = _encoding(path)
+    return lambda data: len(encoding.encode_ordinary(data.decode("utf-8")))
+
+
+@cache
+def _encoding(path: str):
+    """One for each worker process and file."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def with_counts(docs: DataFrame, tokenizers: dict[str, str], text_col: str = "text") -> DataFrame:
+    """The table with, in place of the text, its number of tokens by each tokenizer: a column's name and a file.
+
+    Files are word BPE whose words white space parts (see packing.WordTokenizer)
+    or ranks of byte BPE. Null and empty texts have no tokens; each row is
+    counted by itself, and all other columns stay as they are.
+    """
+    prepare(docs.sparkSession)
+    kept = [f for f in docs.schema if f.name != text_col]
+    schema = T.StructType([*kept, *(T.StructField(name, T.LongType()) for name in tokenizers)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = [_counter(path) for path in tokenizers.values()]
         for b in batches:
-            n = [len(tok.ids(x or b"")) // 4 for x in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(n, np.int64))], ["doc_id", "n_tokens"])
+            at = b.schema.names.index(text_col)
+            texts = [x or b"" for x in b.column(at).cast(pa.binary()).to_pylist()]
+            counts = [pa.array(np.array([count(x) for x in texts], np.int64)) for count in counters]
+            own = [c for k, c in enumerate(b.columns) if k != at]
+            yield pa.RecordBatch.from_arrays([*own, *counts], [f.name for f in schema])
 
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_tokens long")
+    return docs.mapInArrow(run, schema)
 
 
 def signed(rows: DataFrame, tokenizer: str, docs: int, tokens: Column) -> DataFrame:
-    """Delta rows: ``docs`` is 1 for inserts, -1 for deletes, 0 for revised counts; ``tokens`` is added."""
-    return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(docs).cast("long").alias("n_docs"), tokens.cast("long").alias("n_tokens"))
+    """Delta rows: ``docs`` is 1 for inserts, -1 for deletes, 0 for revised counts; ``tokens`` is added.
+
+    Null counts are none. Null sources and languages are values of their own.
+    Each row counts, repeats too; other columns are ignored.
+    """
+    tokens = F.coalesce(tokens.cast("long"), F.lit(0).cast("long"))
+    return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(docs).cast("long").alias("n_docs"), tokens.alias("n_tokens"))
 
 
 def inserts(rows: DataFrame, tokenizer: str, tokens: Column) -> DataFrame:
