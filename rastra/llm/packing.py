@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame
 
 from rastra.llm.common import LOWER_TABLE, prepare
 
-#: Tokens that a group leaves free, so that differencing seldom needs one more window.
-SLACK = 8
+#: Tokens that a group leaves free for each window, so that differencing seldom needs one more.
+SLACK = 4
+#: Shares of a group's tokens that are cut to pieces of so many tokens, which even out what larger pieces leave.
+FINE = ((0.01, 8), (0.06, 64))
 #: Words kept in each of the two generations of the word cache.
 CACHE_WORDS = 300_000
 
@@ -98,6 +100,19 @@ def split(pieces: list[tuple], tokens: int) -> tuple[list[tuple], list[tuple]]:
     return list(pieces), []
 
 
+def graded(pieces: list[tuple], shares: tuple = FINE) -> list[tuple]:
+    """The pieces, of which the last ones, of about these shares of the tokens, are cut to smaller ones."""
+    kept, cut = list(pieces), []
+    tokens = sum(len(p[2]) // 4 for p in pieces)
+    for share, size in shares:
+        want = int(share * tokens)
+        while kept and want > 0:
+            doc, start, ids, total = kept.pop()
+            want -= len(ids) // 4
+            cut += [(doc, start + at, ids[4 * at : 4 * (at + size)], total) for at in range(0, len(ids) // 4, size)]
+    return kept + cut
+
+
 class WordTokenizer:
     """Ids of a text by a tokenizer that never joins what ASCII white space parts.
 
@@ -188,10 +203,9 @@ def pack(
     A document is its text's ids and then ``end_id``. Its full windows become
     sequences at once. The rest is cut into pieces of at most ``piece`` tokens;
     each ``group`` of pieces is dealt to near-equal windows (see ``windows``).
-    A group is cut to ``slack`` tokens less than some number of whole windows,
-    and what is over goes on in the next group. Of the partition's last group,
-    what is left beyond whole windows is cut to sequences of powers of two,
-    which need no padding.
+    A group is cut to some number of whole windows less ``slack`` tokens each,
+    and what is over goes on in the next group; a part of its pieces is cut
+    smaller (see ``graded``). A partition's last group has what is left.
 
     Columns: doc_id, start (ids of its document before it), length, token_ids
     (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset (in the
@@ -231,18 +245,11 @@ def pack(
                 at += len(ids) // 4
 
         def deal(last: bool = False) -> None:
-            whole = max(0, sum(len(r[2]) // 4 for r in rest) // capacity * capacity - (0 if last else slack))
-            now, over = split(rest, whole)
-            rest[:] = over
+            tokens = sum(len(r[2]) // 4 for r in rest)
+            now, rest[:] = split(rest, tokens if last else tokens // capacity * (capacity - slack))
+            now = graded(now)
             for w in windows([len(r[2]) // 4 for r in now], capacity):
                 emit([now[i] for i in sorted(w)])
-            if last:
-                left = sum(len(r[2]) // 4 for r in rest)
-                for k in reversed(range(left.bit_length())):
-                    if left >> k & 1:
-                        now, over = split(rest, 1 << k)
-                        rest[:] = over
-                        emit(now)
 
         for b in batches:
             kind = b.schema.field("doc_id").type

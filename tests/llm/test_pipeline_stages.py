@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import Counter
 from fractions import Fraction
+from functools import cache
 
 import numpy as np
 import pytest
@@ -185,6 +186,23 @@ def brute_hits(text, items, size=10):
     return len(w), hit, sorted(map(str, owners))
 
 
+def test_windows_take_bounded_memory():
+    """Some five bytes for each of an item's, however many windows it has."""
+    rng = random.Random(16)
+    items = [(i, prose(rng, 400)) for i in range(300)]
+    size = sum(len(t.encode()) for _, t in items)
+    assert decontaminate.WindowSet(items, 10).bytes() < 10 * size
+
+
+def test_items_without_names_and_with_the_same(spark):
+    items = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "d e f"), (2, "a b c")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x a b c"), (2, "d e f"), (3, "a b")], "doc_id long, text string")
+    got = {r.doc_id: (len(r.spans), r.items) for r in decontaminate.find(docs, items).collect()}
+    assert got == {1: (1, ["1", "2"]), 2: (1, ["1"]), 3: (0, [])}
+    unnamed = decontaminate.find(docs, items.filter("item_id is null")).collect()
+    assert {r.doc_id: (len(r.spans), r.items) for r in unnamed} == {1: (1, []), 2: (0, []), 3: (0, [])}
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 700])
 def test_decontamination_is_brute_force(spark, block_bytes):
     rng = random.Random(11)
@@ -211,16 +229,21 @@ def test_decontamination_is_brute_force(spark, block_bytes):
     assert decontaminate.find(docs.limit(0), bench).count() == 0
 
 
-def whole_ids(text):
+@cache
+def whole_tokenizer():
     from tokenizers import Tokenizer
 
-    return [*Tokenizer.from_file(word_tokenizer_path()).encode(text or "", add_special_tokens=False).ids, 1]
+    return Tokenizer.from_file(word_tokenizer_path())
+
+
+def whole_ids(text):
+    return [*whole_tokenizer().encode(text or "", add_special_tokens=False).ids, 1]
 
 
 # texts on which words could be cut or normalised in another way than in whole texts
 TRICKY = [
     "don't stop, we'll go.", "É́a É, x́.", "abc<|endoftext|>def <|ENDOFTEXT|>", "ẞİi ſ. Σας", "a b c\x1cd\x85e", "日本語, テスト。 12ab3.", "ﬁ. ŉ, ǅ. ª.",
-    "'s.'t,", "x!.", ",,..", "ʰ, é.,", "a\x0bb\x0cc\x00d", "Ünïcode WÖRDS, ÀÉÎ.", "ﬁ​.­,", "é, ́e.", "...", "a.b,c.", "A.",
+    "'s.'t,", "x!.", ",,..", "ANKARA BELEDİYESİ, 2020", "İ. Sİ. sİ,", "x" * 20_000, "ʰ, é.,", "a\x0bb\x0cc\x00d", "Ünïcode WÖRDS, ÀÉÎ.", "ﬁ​.­,", "é, ́e.", "...", "a.b,c.", "A.",
 ]
 
 
@@ -231,6 +254,41 @@ def test_word_tokens_are_the_tokenizers():
         assert np.frombuffer(tok.ids(text.encode()), "<u4").tolist() == whole_ids(text)[:-1]
 
 
+def test_word_tokens_of_random_texts():
+    """Words of letters of all kinds beside the punctuation that is cut off."""
+    tok, rng = packing.WordTokenizer(word_tokenizer_path()), random.Random(3)
+    for _ in range(1500):
+        top = rng.choice([0x80, 0x180, 0x250, 0x3000])
+        text = "".join(chr(rng.choice([rng.randrange(32, top), 44, 46, 32, 97, 73, 0x130, 0x301])) for _ in range(25))
+        assert np.frombuffer(tok.ids(text.encode()), "<u4").tolist() == whole_ids(text)[:-1], text
+
+
+def test_split():
+    pieces = [(1, 0, b"abcdefgh", 2), (2, 4, b"ijklmnop", 9)]
+    assert packing.split(pieces, 0) == ([], pieces) and packing.split(pieces, 9) == (pieces, [])
+    assert packing.split(pieces, 2) == (pieces[:1], pieces[1:])
+    assert packing.split(pieces, 3) == ([pieces[0], (2, 4, b"ijkl", 9)], [(2, 5, b"mnop", 9)])
+
+
+def test_padding_is_little(spark):
+    """A few tokens a window, and part of one window a partition."""
+    rng = random.Random(20)
+    docs = docs_of(spark, [prose(rng, rng.randint(1, 900)) for _ in range(3000)]).coalesce(2)
+    lengths = Counter()
+    for r in packing.pack(docs, word_tokenizer_path()).select("sequence_id", "length").collect():
+        lengths[r.sequence_id] += r.length
+    assert max(lengths.values()) <= 2048 and sum(2048 - n for n in lengths.values()) / sum(lengths.values()) < 0.006
+
+
+def test_graded_pieces_are_the_same_tokens():
+    ids = np.arange(2000, dtype="<u4").tobytes()
+    pieces = [(k, 7 * k, ids[4 * at : 4 * (at + 100)], 2000) for k, at in enumerate(range(0, 2000, 100))]
+    cut = sorted(packing.graded(pieces), key=lambda p: p[:2])
+    assert b"".join(p[2] for p in cut) == ids and len(cut) > len(pieces)
+    assert all(start == 7 * doc + (np.frombuffer(x, "<u4")[0] - 100 * doc) for doc, start, x, _ in cut)
+    assert packing.graded([]) == []
+
+
 def test_packing(spark):
     texts = [*odd(random.Random(2)), *TRICKY]
     docs = docs_of(spark, texts).repartition(3)
@@ -304,6 +362,84 @@ def test_toxicity_learns(spark):
     assert toxicity.score(odd_docs.limit(0), model).count() == 0
 
 
+def plain_features(text, words_taught, starts_taught):
+    """The features by plain loops over characters and words."""
+    import math
+    import re
+
+    raw = (text or "").encode()
+    if not raw:
+        return [0.0] * len(toxicity.FEATURES)
+    words = [w.lower() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", raw)]
+    taught = {}
+    for i, w in enumerate(words):
+        own = [words_taught.get(w, 0.0)]
+        chars = w.decode("utf-8", "ignore")
+        own += [starts_taught.get(chars[:n].encode(), 0.0) for n in (4, 5, 6) if len(chars) > n and len(w) > n]
+        if max(own):
+            taught[i] = max(own)
+    insults = [i for i, w in enumerate(words) if w.decode("utf-8", "ignore") in toxicity.INSULTS]
+    second = [i for i, w in enumerate(words) if w.decode("utf-8", "ignore") in toxicity.SECOND_PERSON]
+    near = sum(any(abs(i - j) <= toxicity.NEAR_WORDS for j in second) for i in {*insults, *taught})
+    n, size, low = max(1, len(words)), len(raw), raw.lower()
+    letter, mark = rb"[a-z]", rb"[0-9@$!*#_.-]"
+    mixed = re.findall(letter + rb"+(?:" + mark + rb"+" + letter + rb"+)+|[0-9@$]+[a-z]+[a-z0-9@$!*#_.-]*[a-z0-9]", low)
+    hidden = sum("".join(c for c in "".join(toxicity.LEET.get(c, c) for c in m.decode()) if "a" <= c <= "z") in toxicity.INSULTS for m in mixed)
+    capitals, small = sum(65 <= b <= 90 for b in raw), sum(97 <= b <= 122 for b in raw)
+    runs = [m for m in re.findall(rb"[A-Za-z]+", raw) if len(m) >= 3 and m.isupper()]
+    share = lambda test: sum(map(test, raw)) / size
+    other = lambda b: 32 < b < 127 and not chr(b).isalnum() and b not in b"!?"
+    return [
+        math.log1p(len(words)), len(insults) / n, math.log1p(len(insults)), len(taught) / n, math.log1p(len(taught)),
+        len({words[i] for i in taught}), max(taught.values(), default=0.0), math.log1p(sum(taught.values())), len(second) / n, near / n,
+        capitals / max(1, capitals + small), len(runs) / n, share(lambda b: b == 33), share(lambda b: b == 63), share(other), share(lambda b: 48 <= b <= 57),
+        len(mixed) / n, hidden, len(re.findall(rb"([a-z])\1\1", low)) / n, share(lambda b: b > 127),
+    ]
+
+
+def test_features_are_brute_force():
+    rng = random.Random(15)
+    weights = {b"grumpf": 2.0, b"kest": 1.5, b"gru-": 0.0, b"grum-": 1.0, "bénör-".encode(): 3.0}
+    terms = toxicity.Terms.of({k: v for k, v in weights.items() if v})
+    starts = {k[:-1]: v for k, v in weights.items() if k.endswith(b"-") and v}
+    bits = ["grumpf", "grumpfen", "kest", "bénörig", "you", "Du", "idiot", "!D10T", "st*pid", "1d1ot", "SCUM", "SHOUT", "aaargh", "a.b", "3.a", "?!", "é", "42", "@x", "ok"]
+    for _ in range(400):
+        text = " ".join(rng.choice([*bits, *WORDS[:6]]) for _ in range(rng.randint(0, 30))).replace("ok ", rng.choice(["ok", "", "ok\n"]))
+        assert toxicity.features(text.encode(), terms) == pytest.approx(plain_features(text, terms.words, starts)), text
+
+
+def test_features_of_long_runs_take_linear_time():
+    import time
+
+    terms = toxicity.Terms({b"x": 1.0}, {b"abcd": 1.0})
+    for text in (b"a" * 1_000_000, b"7" * 1_000_000, b"A" * 1_000_000, b"1a" + b"!@" * 500_000, b"a" * 500_000 + b"." * 500_000, "é".encode() * 500_000):
+        began = time.process_time()
+        assert len(toxicity.features(text, terms)) == len(toxicity.FEATURES)
+        assert time.process_time() - began < 20
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    """Repeated rows of labelled ids count once, odd labels teach nothing, and the sample keeps its bound."""
+    rows = toxic_corpus(random.Random(6), 400)
+    docs = spark.createDataFrame([r[:2] for r in rows] * 3, "doc_id long, text string")
+    docs = docs.unionByName(spark.createDataFrame([(1, f"text {i}") for i in range(2000)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(r[0], k) for r in rows for k in (-1, 2)], "doc_id long, toxic int")
+    met = []
+    real = toxicity._featured
+
+    def seen(sample, terms):
+        x, y = real(sample, terms)
+        met.append(len(y))
+        return x, y
+
+    toxicity._featured = seen
+    try:
+        model = toxicity.train(docs, labels, sample_rows=1000)
+    finally:
+        toxicity._featured = real
+    assert 500 < met[0] <= 1000 and model.trees is not None
+
+
 def test_toxicity_without_labels(spark):
     docs = docs_of(spark, ["you stupid idiot, pathetic trash", "a fine day", None])
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -398,6 +534,49 @@ def test_lm_learns_emissions_of_rare_words(spark, monkeypatch):
     assert np.allclose([found[0][i] for i in range(len(texts))], [found[1][i] for i in range(len(texts))], rtol=1e-4)
 
 
+def test_lm_score_is_a_plain_forward_sum(spark, monkeypatch):
+    """The final score against a forward recursion by dictionaries, with the model's own numbers."""
+    held = []
+    real = hmm.baum_welch
+
+    def seen(*args):
+        out = real(*args)
+        held[:] = [out[0], args[2], out[1], {(r.block, r.part): bytes(r.sums) for r in out[2].collect()}]
+        return out
+
+    monkeypatch.setattr(hmm, "baum_welch", seen)
+    texts = odd(random.Random(8))[:70]
+    docs = docs_of(spark, texts).coalesce(1)
+    got = {r.doc_id: r.score for r in hmm.score(docs, F.col("doc_id") % 3 != 0, states=3, rounds=2).collect()}
+    model = held[0]
+    counts = Counter()
+    for i, t in enumerate(texts):
+        if i % 3:
+            counts.update([*hmm.tokens_of((t or "").encode()), hmm.END])
+    head = hmm.make_head(hmm.count_tokens(docs.filter("doc_id % 3 <> 0")), hmm.HEAD_WORDS, hmm.MODEL_WORDS)
+    assert head.words == len(counts) - 1  # every training word is broadcast here
+    unseen = 10 / held[2].total / held[2].mass  # one count by the prior, as in _with_rest
+    for i, t in enumerate(texts):
+        log, alpha = 0.0, None
+        for w in [*hmm.tokens_of((t or "").encode()), hmm.END]:
+            emit = [float(model.emit[s, head.index[w]]) if w in head.index else float(unseen[s]) for s in range(3)]
+            before = model.start if alpha is None else [sum(alpha[r] * model.step[r, s] for r in range(3)) for s in range(3)]
+            alpha = [before[s] * emit[s] for s in range(3)]
+            scale = sum(alpha)
+            alpha, log = [a / scale for a in alpha], log + np.log10(scale)
+        assert got[i] == pytest.approx(log, rel=1e-6)
+    assert np.allclose(model.emit.sum(axis=1) + 10 * (1 - held[1].sum()) / held[2].mass, 1)
+
+
+def test_lm_learns_two_kinds_of_texts(spark):
+    """States tell two languages apart, so held-out texts score better than by unigrams."""
+    rng = random.Random(17)
+    kinds = [[f"{c}{i}" for i in range(60)] for c in "xy"]
+    texts = [" ".join(rng.choice(kinds[k % 2]) for _ in range(60)) for k in range(300)]
+    got = hmm.score(docs_of(spark, texts), F.col("doc_id") % 5 != 0, states=2).filter("not train").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (got[0] - got[1]) / got[2] > 0.2  # at most log10(2) = 0.3
+
+
 def test_lm_is_a_distribution(spark):
     """Over the vocabulary and one word unseen in each class, one-word continuations sum to 1."""
     texts = ["a b c", "a b", "c c a zz", "b"]
