@@ -1,4 +1,4 @@
-"""python -m rastra fit|predict: the cascade on folders of PNG images."""
+"""python -m rastra fit|predict|show: the cascade on folders of PNG images."""
 
 from __future__ import annotations
 
@@ -8,12 +8,16 @@ import re
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from rastra.operators.histogram import match
 from rastra.operators.tables import placed
 from rastra.operators.tiles import Grid
 from rastra.plans import cascade
 from rastra.sources import images
 
 
+# fixed values: the options' letters and the forms of sizes (WxH or one number) and tiles (C,R)
+
+
 def size(text: str) -> tuple[int, int]:
     """Height and width of WxH or one number."""
     m = re.fullmatch(r"([0-9]+)(?:x([0-9]+))?", text)
@@ -47,46 +51,61 @@ def parser() -> argparse.ArgumentParser:
     fit.add_argument("-S", "--stages", type=int, default=2)
     fit.add_argument("-L", "--levels", type=int, default=4)
     fit.add_argument("-r", "--restart", action="store_true")
-    pred = sub.add_parser("predict", help="write probability maps as Parquet")
+    pred = sub.add_parser("predict", help="write probability maps as PNG files of the images' names")
     pred.add_argument("images")
     pred.add_argument("out")
     pred.add_argument("-m", "--model", default="./temp")
     pred.add_argument("-b", "--block", type=block, default=(500, 500))
     pred.add_argument("-o", "--overlap", type=size, default=(50, 50))
-    pred.add_argument("-t", "--tile", type=tile, action="append", default=[])
+    pred.add_argument("-t", "--tile", type=tile, action="append", default=[], help="only this tile, as C,R; all else is black")
+    pred.add_argument("-n", "--no-match", action="store_true", help="the images' histograms already match the training images'")
+    pred.add_argument("-p", "--parquet", action="store_true", help="write image_id, row, col, p and level q instead")
+    show = sub.add_parser("show", help="tell what a model's folder holds")
+    show.add_argument("-m", "--model", default="./temp")
     return p
 
 
 def numbered(spark: SparkSession, spec: str):
-    """image_id (by sorted path), row, col, v."""
+    """image_id by sorted path with the path; and image_id, row, col, v."""
     paths = images.expand(spark, spec)
     ids = placed(paths.select("path"), "path").select("path", F.col("place").alias("image_id"))
-    return images.scan(spark, paths).join(ids, "path").select("image_id", "row", "col", "v")
+    return ids, images.scan(spark, paths).join(ids, "path").select("image_id", "row", "col", "v")
+
+
+def run_fit(spark: SparkSession, a: argparse.Namespace) -> None:
+    (ids, pixels), (label_ids, marks) = numbered(spark, a.images), numbered(spark, a.labels)
+    n, m = ids.count(), label_ids.count()
+    if n != m or not n:
+        raise SystemExit("there must be as many label images as images, and at least one")
+    param = cascade.Param(a.stages, a.levels)
+    marks = marks.select("image_id", "row", "col", (F.col("v") > 0).cast("int").alias("y"))
+    cascade.save_param(spark, param, a.model, pixels)
+    cascade.fit(pixels.join(marks, ["image_id", "row", "col"]), param, a.model, a.restart)
+
+
+def run_predict(spark: SparkSession, a: argparse.Namespace) -> None:
+    known = cascade.load_param(spark, a.model)
+    param = cascade.Param(known.stages, known.levels, tuple(known.extractors or cascade.Param().extractors))
+    schema = "stage int, level int, groups int, width int, weights array<double>, errors array<double>"
+    model = cascade.load(spark.read.schema(schema).parquet(*(f"{a.model}/stage={s}/level={v}" for s, v in param.steps())))
+    ids, pixels = numbered(spark, a.images)
+    if known.hgram and not a.no_match:
+        pixels = match(pixels, spark.createDataFrame(list(enumerate(known.hgram)), "level int, n long"))
+    found = cascade.predict(pixels, model, param, Grid(*a.block, *a.overlap), a.tile or None)
+    if a.parquet:
+        found.write.mode("overwrite").parquet(a.out)
+    else:
+        names = ids.select("image_id", F.concat(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1), F.lit(".png")).alias("name"))
+        images.write(found.select("image_id", "row", "col", F.col("q").cast("long").alias("v")), names, a.out)
 
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("rastra").getOrCreate()
-    pixels = numbered(spark, a.images)
-    if a.do == "fit":
-        marks = numbered(spark, a.labels).select("image_id", "row", "col", (F.col("v") > 0).cast("int").alias("y"))
-        n, m = (x.select("image_id").distinct().count() for x in (pixels, marks))
-        if n != m or not n:
-            raise SystemExit("there must be as many label images as images, and at least one")
-        param = cascade.Param(a.stages, a.levels)
-        cascade.fit(pixels.join(marks, ["image_id", "row", "col"]), param, a.model, a.restart)
-        spark.createDataFrame([(a.stages, a.levels)], "stages int, levels int").write.mode("overwrite").parquet(f"{a.model}/param")
-        return 0
-    stages, levels = spark.read.parquet(f"{a.model}/param").first()
-    schema = "stage int, level int, groups int, width int, weights array<double>, errors array<double>"
-    param = cascade.Param(stages, levels)
-    model = cascade.load(spark.read.schema(schema).parquet(*(f"{a.model}/stage={s}/level={v}" for s, v in param.steps())))
-    grid = Grid(*a.block, *a.overlap)
-    found = cascade.predict(pixels, model, param, grid)
-    if a.tile:
-        wanted = spark.createDataFrame(a.tile, "tile_row long, tile_col long")
-        found = grid.selected(found, wanted)
-    found.write.mode("overwrite").parquet(a.out)
+    if a.do == "show":
+        print("\n".join(cascade.describe_param(spark, a.model)))
+    else:
+        {"fit": run_fit, "predict": run_predict}[a.do](spark, a)
     return 0
 
 

@@ -76,10 +76,13 @@ class Grid:
             "image_id", (F.col("a.t") + 1).alias("tile_row"), (F.col("b.t") + 1).alias("tile_col"), F.col("a.at").alias("y"), F.col("b.at").alias("x"), "v", "h", "w"
         )
 
-    def blocks(self, pixels: DataFrame) -> DataFrame:
-        """One row a tile: its number, the image's size and its block's values row by row."""
+    def blocks(self, pixels: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+        """One row a tile, of those wanted (tile_row, tile_col; all by default): its number, the image's size and its block's values row by row."""
+        shown = self.halo(pixels)
+        if wanted is not None:
+            shown = shown.join(F.broadcast(wanted.select("tile_row", "tile_col").distinct()), ["tile_row", "tile_col"], "left_semi")
         cells = F.transform(F.array_sort(F.collect_list(F.struct((F.col("y") * self.w + F.col("x")).alias("k"), F.col("v").cast("double").alias("v")))), lambda s: s["v"])
-        return self.halo(pixels).groupBy("image_id", "tile_row", "tile_col", "h", "w").agg(cells.alias("data"))
+        return shown.groupBy("image_id", "tile_row", "tile_col", "h", "w").agg(cells.alias("data"))
 
     def selected(self, pixels: DataFrame, wanted: DataFrame) -> DataFrame:
         """The pixels in the cores of the wanted tiles; repeats and tiles outside do no harm."""

@@ -293,6 +293,124 @@ def test_places_of_any_values(spark):
     assert zipped.filter("concat(path, 'l') = path_2").count() == 3000
 
 
+def test_png_files(spark, tmp_path):
+    """Strips of large images, names, sizes by header alone, and functions applied to each image."""
+    import zlib
+
+    rng = np.random.default_rng(8)
+    imgs = [rng.integers(0, 256, (150, 70)), rng.integers(0, 256, (64, 3)), rng.integers(0, 256, (1, 1))]
+    names = spark.createDataFrame([(0, "b.png"), (1, "a.png"), (2, "C.PNG")], "image_id long, name string")
+    folder = f"file://{tmp_path}/out"
+    done = images.write(frame(spark, *imgs), names, folder)
+    assert done.count() == 3
+    for n, name in ((0, "b.png"), (1, "a.png"), (2, "C.PNG")):
+        data = (tmp_path / "out" / name).read_bytes()
+        assert (images.decode_png(data) == imgs[n]).all() and (images.decode_png(images.encode_png(imgs[n])) == imgs[n]).all()
+        at = data.index(b"IDAT") + 4
+        z = zlib.decompressobj()  # checks the joined checksum
+        assert len(z.decompress(data[at : at + int.from_bytes(data[at - 8 : at - 4], "big")])) == imgs[n].size + len(imgs[n]) and z.eof
+    assert {r.path.rpartition("/")[2] for r in images.png_files(spark, folder).collect()} == {"a.png", "b.png"}
+    sizes = {r.path.rpartition("/")[2]: (r.h, r.w) for r in images.sizes(spark, images.expand(spark, folder)).collect()}
+    assert sizes == {"b.png": (150, 70), "a.png": (64, 3), "C.PNG": (1, 1)}
+    assert images.first_size(spark, folder) == (64, 3) and images.first_size(spark, f"file://{tmp_path}/none") is None
+    images.transform(spark, images.png_files(spark, folder), lambda img: 255 - img, f"file://{tmp_path}/changed")
+    assert (images.decode_png((tmp_path / "changed" / "a.png").read_bytes()) == 255 - imgs[1]).all()
+    sparse = spark.createDataFrame([(5, 130, 2, 300)], "image_id long, row long, col long, v long")
+    img = images.decode_png(bytes(images.encoded(sparse).first().png))
+    assert img.shape == (131, 3) and img[130, 2] == 255 and img.sum() == 255
+
+
+def test_text_files(spark, tmp_path):
+    from rastra.sources import text_files as t
+
+    base = f"file://{tmp_path}"
+    counts = spark.createDataFrame([(2, 7), (0, 5), (1, 0)], "level int, n long")
+    assert t.write_histogram(counts, f"{base}/h.txt") == ["5", "0", "7"]
+    assert sorted(map(tuple, t.read_histogram(spark, f"{base}/h.txt").collect())) == [(0, 5), (1, 0), (2, 7)]
+    (tmp_path / "p").write_text("# note\nmax.retries=3\n\nopts=-limit 4gb -define a=/b\ntool.dir=/foo\nempty=\n")
+    p = t.read_properties(spark, f"{base}/p")
+    assert p == {"max.retries": "3", "opts": "-limit 4gb -define a=/b", "tool.dir": "/foo", "empty": ""}
+    assert t.command(p, "tool.dir", "convert") == "/foo/convert" and t.command(p, "empty", "convert") == "convert"
+    for missing in (t.read_properties, t.size_of):
+        with pytest.raises(FileNotFoundError):
+            missing(spark, f"{base}/none")
+    assert t.size_of(spark, f"{base}/p") == (tmp_path / "p").stat().st_size < t.size_of(spark, base)
+    assert t.full_path(spark, f"{base}/foo/../p") == f"{base}/p"
+
+
+def test_jobs(spark, tmp_path):
+    grid = spark.createDataFrame([("/in/a.png", 2, 3), ("/in/b.png", 1, 1)], "image string, tiles_w long, tiles_h long")
+    lines = jobs.predict_job(grid, 5, "/model", "/out").orderBy("line_no").collect()
+    assert [r.line_no for r in lines] == list(range(1, 13)) and lines[2].value == "1:::-t 2,3 -t 2,2 -t 2,1 -t 1,3 -t 1,2"
+    assert [r.value for r in lines[4:8]] == ["2:::/in/a.png", "2:::/model", "2:::-t 1,1", "2:::/out/a.png"] and lines[11].value == "3:::/out/b.png"
+    rows = tables.config_rows(jobs.predict_job(grid, 5, "/model", "/out"))
+    assert {r.value for r in rows.filter("ordinal = 1").collect()} == {"/in/a.png", "/in/b.png"}
+    train = jobs.train_job(spark.createDataFrame([(1, "i", "l", None, "o")], "task_id long, images string, labels string, options string, out string"))
+    assert [r.value for r in train.orderBy("line_no").collect()] == ["1:::i", "1:::l", "1:::", "1:::o"]
+    tasks, log = spark.range(1, 6).withColumnRenamed("id", "task_id"), jobs.Attempts(spark, f"file://{tmp_path}/failed")
+    code, left = jobs.run_tasks(tasks, lambda todo, n: todo.filter(f"task_id <= {2 * n}"), max_tries=2, log=log)
+    assert code == jobs.RETRIES_EXCEEDED and [r.task_id for r in left.collect()] == [5]
+    assert sorted((r.attempt, r.task_id) for r in log.all().collect()) == [(1, 3), (1, 4), (1, 5), (2, 5)]
+    done = tasks.filter("task_id < 3")
+    assert {r.task_id: r.state for r in jobs.status(tasks, done).collect()} == {1: "done", 2: "done", 3: "failed", 4: "failed", 5: "failed"}
+    assert jobs.verify(tasks, done)[0] == 3
+    assert jobs.grouped(spark, "g1", lambda: spark.range(10).count()) == 10 and set(jobs.running(spark, "g1").values()) == {"SUCCEEDED"}
+    jobs.cancel(spark, "g1")
+    said: list[str] = []
+    assert jobs.reported(lambda: 1, said.append) == 0 and jobs.reported(lambda: 1 / 0, said.append) == 1 and "ZeroDivisionError" in said[1]
+    assert jobs.tool_numbers(["1", "0"], 2) == [1, 0] and len(jobs.tool_histogram(["1"] * 256)) == 256
+    for bad in (["1"], ["1", "-2"], ["1", "x"]):
+        with pytest.raises(ValueError):
+            jobs.tool_numbers(bad, 2)
+
+
+def test_only_wanted_tiles_are_predicted(spark, data):
+    """The rest is 0, and no other tile is made."""
+    pixels = px(spark, data).filter("image_id < 2")
+    param, grid = cascade.Param(1, 0, ("haar",)), tiles.Grid(26, 26, 5, 5)
+    net = {(1, 0): cascade.Net(np.random.default_rng(1).normal(size=(20, 3)), 10)}
+    whole = {(r.image_id, r.row, r.col): r.p for r in cascade.predict(pixels, net, param, grid).collect()}
+    some = {(r.image_id, r.row, r.col): r.p for r in cascade.predict(pixels, net, param, grid, [(1, 1), (2, 4), (2, 4), (9, 9), (-1, -1)]).collect()}
+    assert whole.keys() == some.keys()
+    inside = lambda y, x: (y // 16, x // 16) in ((0, 0), (1, 3))
+    assert all(p == (whole[k] if inside(k[1], k[2]) else 0) for k, p in some.items())
+    wanted = spark.createDataFrame([(1, 1)], "tile_row long, tile_col long")
+    assert grid.blocks(pixels, wanted).count() == 2
+    assert not any(r.p for r in cascade.predict(pixels, net, param, grid, [(-1, -1)]).collect())
+
+
+def test_command_line_fits_and_predicts(spark, data, tmp_path, monkeypatch, capsys):
+    from rastra import __main__ as cli
+
+    real = cascade.Param
+    monkeypatch.setattr(cascade, "Param", lambda s=1, v=0, e=("haar", "edge"): real(s, v, e, 500, {"epochs": 1, "groups": 2, "units": 2}))
+    pixels = px(spark, data).filter("image_id < 2")
+    for name, raster in (("in", pixels), ("labels", labels(pixels).select("image_id", "row", "col", (F.col("y") * 255).alias("v")))):
+        images.write(raster, spark.createDataFrame([(0, "x.png"), (1, "y.png")], "image_id long, name string"), f"file://{tmp_path}/{name}")
+    base = f"file://{tmp_path}"
+    assert cli.main(["fit", f"{base}/in", f"{base}/labels", "-m", f"{base}/model", "-S", "1", "-L", "0"]) == 0
+    assert cli.main(["show", "-m", f"{base}/model"]) == 0
+    assert "training size: 50 x 64 (height x width)" in capsys.readouterr().out
+    known = cascade.load_param(spark, f"{base}/model", "hgram", "stages")
+    assert sum(known.hgram) == 2 * 50 * 64 and known.stages == 1
+    net = spark.read.parquet(f"{base}/model/stage=1/level=0").first()
+    weights = np.random.default_rng(1).normal(size=(10, net.width)).ravel().tolist()  # a few rows teach a network little
+    schema = "stage int, level int, groups int, width int, weights array<double>, errors array<double>"
+    spark.createDataFrame([(1, 0, 10, net.width, weights, [])], schema).write.mode("overwrite").parquet(f"{base}/model/stage=1/level=0")
+    assert cli.main(["predict", f"{base}/in", f"{base}/out", "-m", f"{base}/model", "-b", "42x42", "-o", "5x5", "-t", "1,1"]) == 0
+    for name in ("x.png", "y.png"):
+        img = images.decode_png((tmp_path / "out" / name).read_bytes())
+        assert img.shape == (50, 64) and not img[32:].any() and not img[:, 32:].any() and img[:32, :32].any()
+    assert cli.main(["predict", f"{base}/in", f"{base}/table", "-m", f"{base}/model", "-b", "42x42", "-o", "5x5", "-n", "-p"]) == 0
+    assert spark.read.parquet(f"{base}/table").count() == 2 * 50 * 64
+    # a model of networks alone gets its parameters back
+    import shutil
+
+    shutil.rmtree(tmp_path / "model" / "param")
+    assert cascade.migrate_param(spark, f"{base}/model").stages == 1
+    assert cascade.load_param(spark, f"{base}/model", "hgram", "levels") == (None, 0)
+
+
 def test_command_line():
     from rastra.__main__ import parser
 
