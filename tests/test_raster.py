@@ -118,6 +118,15 @@ def test_hog_of_one_window_by_hand():
     assert np.allclose(f, block / np.sqrt((block**2).sum()))
 
 
+def test_gabor_energies_are_those_of_whole_kernels():
+    img = np.random.default_rng(9).integers(0, 256, (21, 24)).astype(float)
+    got = tk.gabor(img)
+    for at, (sigma, theta, length) in enumerate(kernels.gabor_bank()):
+        if at % 17 == 0:
+            pair = [tk._levels(tk.correlate(img, tk._dense(kernels.gabor(sigma, theta, length, p))[None], "symmetric")[0]) / 255 for p in (0.0, np.pi / 2)]
+            assert np.allclose(got[:, at], np.hypot(*pair).ravel())
+
+
 # fixed values: golden tile counts and batches
 @pytest.mark.parametrize(
     ("w", "h", "bw", "bh", "want"),
