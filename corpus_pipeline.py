@@ -2,7 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet in the shared folder and the next stage reads that. All stages
-but the last return the columns of documents.
+but the last return the columns of documents, whatever columns these are; extra
+ones stay, and their names may clash with none that the stages use.
+
+Null and empty texts pass all filters, and each is a piece of its closing id in
+the last stage. Rows of null ids are kept unless their own text is toxic or
+holds a benchmark item. A row that is there several times is one row after the
+n-gram join if it has words. No documents, labels or benchmark items are
+tables like others: nothing comes out, the fixed insults alone are judged by,
+and nothing is removed.
 """
 
 from __future__ import annotations
@@ -15,13 +23,13 @@ from rastra.llm.queries import held_out, table, word_tokenizer_path
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator scores under 0.3."""
+    """Documents that the toxicity operator scores under 0.3, judged row by row; ties and repeats have equal scores."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn_from=~held_out(4))
     return toxicity.keep_below(docs, model, 0.3)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of the n-gram Jaccard join, the document of the least id."""
+    """Of each class of the n-gram Jaccard join, one row: the document of the least id (see ngram_join.one_of_each)."""
     return ngram_join.one_of_each(docs)
 
 
@@ -31,7 +39,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences, with their token ids."""
+    """The pieces of the packed sequences, with their token ids; every row is a document of its own."""
     return packing.pack(docs, word_tokenizer_path())
 
 
