@@ -623,7 +623,11 @@ def test_pipeline(spark, data):
     assert list(stages) == ["toxicity", "ngram_jaccard_join", "benchmark_decontamination", "packing"]
     first = stages["toxicity"](spark, docs, data).cache()
     assert first.columns == docs.columns and 0 < first.count() <= docs.count()
+    model = toxicity.train(docs, spark.read.parquet(f"{data}/labels.parquet"), learn_from=F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    every = {r.doc_id: r.text for r in docs.collect()}
+    plain = np.array([plain_features(t, model.terms.words, model.terms.starts) for t in every.values()])
     texts = {r.doc_id: r.text for r in first.collect()}
+    assert set(texts) == {i for i, x in zip(every, model.score(plain), strict=True) if x < 0.3}
     order = sorted(texts)
     brute = brute_join([texts[i] for i in order])
     second = stages["ngram_jaccard_join"](spark, first, data).cache()
@@ -637,6 +641,38 @@ def test_pipeline(spark, data):
         if not any(tuple(w[i : i + n]) in windows for n in {len(x) for x in windows} for i in range(len(w) - n + 1)):
             clean.add(r.doc_id)
     assert third.columns == docs.columns and {r.doc_id for r in third.collect()} == clean
-    fourth = stages["packing"](spark, third, data)
-    assert {r.doc_id for r in fourth.select("doc_id").distinct().collect()} == clean
+    pieces: dict = {}
+    for r in sorted(stages["packing"](spark, third, data).collect(), key=lambda r: (r.doc_id, r.start)):
+        assert len(pieces.setdefault(r.doc_id, [])) == r.start
+        pieces[r.doc_id] += np.frombuffer(bytes(r.token_ids), "<u4").tolist()
+    assert pieces == {i: whole_ids(texts[i]) for i in clean}
     assert p.run(spark, data).select("doc_id").distinct().count() == len(clean)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Nulls, empties, repeats, clashing columns, and tables without rows, through all stages."""
+    import corpus_pipeline as p
+
+    rng = random.Random(21)
+    a, b, bench = prose(rng, 40), prose(rng, 40), prose(rng, 30)
+    rows = [(1, a), (1, a), (1, b), (2, a + " more"), (None, a), (None, None), (3, None), (4, ""), (5, "!?"), (6, f"{prose(rng, 20)} {bench} {prose(rng, 20)}"), (7, "you stupid idiot, pathetic trash scum"), (8, prose(rng, 5000)), (8, prose(rng, 3))]
+    schema = "doc_id long, text string, th string, key int, label string, spans int, score double, `sequence id` int"
+    docs = spark.createDataFrame([(*r, "t", 1, "l", 2, 0.5, 3) for r in rows], schema)
+    benchmark = spark.createDataFrame([(1, bench), (None, None), (2, "")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for name, df in (("documents", docs), ("benchmark", benchmark), ("labels", labels)):
+        df.write.parquet(f"{tmp_path}/full/{name}.parquet")
+        df.limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    now = docs
+    kept = []
+    for _, stage in p.STAGES[:3]:
+        now = materialize(stage(spark, now, f"{tmp_path}/full"), "stage")
+        assert now.schema.simpleString() == docs.schema.simpleString()
+        kept.append(sorted((str(r.doc_id), (r.text or "")[:20]) for r in now.collect()))
+    key = lambda chosen: sorted((str(i), (t or "")[:20]) for i, t in chosen)
+    assert kept[0] == key(r for r in rows if r[0] != 7)
+    joined = [(1, a), (1, b), *(r for r in rows if r[0] in (None, 3, 4, 5, 6, 8))]
+    assert kept[1] == key(joined) and kept[2] == key(r for r in joined if r[0] != 6)
+    packed = p.run(spark, f"{tmp_path}/full")
+    assert packed.select("doc_id", "doc_tokens").distinct().count() >= 7 and packed.filter("start = 0").count() == len(joined) - 1
+    assert p.run(spark, f"{tmp_path}/none").count() == 0
