@@ -24,9 +24,10 @@ def image_cdf(pixels: DataFrame) -> DataFrame:
     return counts.select("image_id", "v", (F.sum("n").over(upto) / F.sum("n").over(image).cast("double")).alias("c"))
 
 
-def equalize(pixels: DataFrame) -> DataFrame:
-    """Levels become round(255 * cdf) of their image."""
-    levels = image_cdf(pixels).select("image_id", "v", F.floor(255 * F.col("c") + 0.5).cast("long").alias("to"))
+def equalize(pixels: DataFrame, bins: int = LEVELS) -> DataFrame:
+    """Levels become their share c of their image, as one of ``bins`` evenly spaced levels from 0 to 255: round(255 * c) by default."""
+    step = F.floor((bins - 1) * F.col("c") + 0.5)
+    levels = image_cdf(pixels).select("image_id", "v", F.floor(step * 255 / (bins - 1) + 0.5).cast("long").alias("to"))
     return pixels.join(levels, ["image_id", "v"]).select("image_id", "row", "col", F.col("to").alias("v"))
 
 

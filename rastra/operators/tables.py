@@ -59,6 +59,24 @@ def exit_status(log: Column) -> Column:
     return F.when(log.isNull(), 12).when(code == "", 13).when(code.cast("long") == 0, 0).otherwise(14)
 
 
+def first_failed(*tests: Column) -> Column:
+    """The number, from 1, of the first test that does not hold, or 0; a test that is null does not hold."""
+    out = F.lit(0)
+    for k, test in reversed(list(enumerate(tests, 1))):
+        out = F.when(F.coalesce(test, F.lit(False)), out).otherwise(k)
+    return out
+
+
+def training_status(log: Column, model: Column, exit_code: Column) -> Column:
+    """0 for a training that went well; else the first of: 1 no output, 2 no model, 3 no exit code, 4 another exit code than 0."""
+    return first_failed(F.length(log) > 0, model, exit_code.isNotNull(), exit_code == 0)
+
+
+def largest_stage(names: DataFrame, col: str = "name") -> DataFrame:
+    """The largest stage among model file names, as ``nstage``; null without any."""
+    return names.agg(F.max(F.regexp_extract(col, r"_stage(\d+)\.mat$", 1).try_cast("int")).alias("nstage"))
+
+
 def parse_size(text: Column) -> tuple[Column, Column]:
     """Height and width of ``WxH``; a single number is a square; null if it is neither."""
     ok = text.rlike("^[0-9]+(x[0-9]+)?$")

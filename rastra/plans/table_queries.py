@@ -66,7 +66,7 @@ def op_output_path(spark: SparkSession, d: str) -> DataFrame:
 def op_infer_nstage(spark: SparkSession, d: str) -> DataFrame:
     """The largest stage among model file names."""
     names = table(spark, d, "lineitem").select(F.concat(F.lit("MODEL_level"), F.col("l_partkey") % 5, F.lit("_stage"), "l_linenumber", F.lit(".mat")).alias("name"))
-    return names.agg(F.max(F.regexp_extract("name", r"_stage(\d+)\.mat$", 1).cast("int")).alias("nstage"))
+    return tables.largest_stage(names)
 
 
 LITERAL = "CASE event_id % 6 WHEN 0 THEN 'true' WHEN 1 THEN 'F' WHEN 2 THEN cast(user_id AS string) WHEN 3 THEN concat('-', user_id, '.5') WHEN 4 THEN concat('[', user_id, ' 4;5,-1]') ELSE event_type END"
@@ -181,8 +181,9 @@ def op_task_status(spark: SparkSession, d: str) -> DataFrame:
     """The first test that a finished task fails, or 0."""
     return table(spark, d, "orders").select(
         "o_orderkey",
-        F.when(F.col("o_orderstatus") == "O", 1).when(F.col("o_totalprice") < 50000, 2).when(F.col("o_orderpriority").startswith("1"), 3)
-        .when(F.col("o_orderkey") % 7 == 0, 4).otherwise(0).alias("status"),
+        tables.first_failed(
+            F.col("o_orderstatus") != "O", F.col("o_totalprice") >= 50000, ~F.col("o_orderpriority").startswith("1"), F.col("o_orderkey") % 7 != 0
+        ).alias("status"),
     )
 
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rastra.operators import tiles
 from rastra.operators.tables import NUMBERED
 
 #: Suffixes of images, and the first bytes of a PNG file.
@@ -291,6 +292,18 @@ def _stored(files: DataFrame, folder: str) -> DataFrame:
     return spark.createDataFrame(files.mapInArrow(run, schema).collect(), schema)  # a row for each image
 
 
+def merge(spark: SparkSession, paths: DataFrame, name: str, folder: str) -> DataFrame:
+    """Write the saturating sum of an image's tiles, PNG files of one size, as one file; a single tile is that file's content.
+
+    No tile is an error, as are tiles of different sizes.
+    """
+    shapes = sizes(spark, paths).select("h", "w").distinct().limit(2).collect()
+    if len(shapes) != 1:
+        raise ValueError("tiles of different sizes" if shapes else "no tiles")
+    one = tiles.merge(scan(spark, paths).withColumn("image_id", F.lit(0).cast("long")))
+    return write(one, spark.createDataFrame([(0, name)], "image_id long, name string"), folder)
+
+
 def transform(spark: SparkSession, paths: DataFrame, change, folder: str) -> DataFrame:
     """Apply a function of an image's levels (H x W to H x W) to each PNG and write the results under the same names."""
     schema = "path string, png binary"

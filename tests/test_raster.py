@@ -329,6 +329,34 @@ def test_png_files(spark, tmp_path):
     assert img.shape == (131, 3) and img[130, 2] == 255 and img.sum() == 255
 
 
+def test_merged_files(spark, tmp_path):
+    rng = np.random.default_rng(10)
+    imgs = [rng.integers(0, 200, (70, 20)) for _ in range(3)]
+    names = spark.createDataFrame([(k, f"t{k}.png") for k in range(3)], "image_id long, name string")
+    base = f"file://{tmp_path}"
+    images.write(frame(spark, *imgs), names, f"{base}/a.tiles")
+    read = lambda name: images.decode_png((tmp_path / "out" / name).read_bytes())
+    images.merge(spark, images.expand(spark, f"{base}/a.tiles"), "all.png", f"{base}/out")
+    assert (read("all.png") == np.minimum(255, sum(imgs))).all()
+    images.merge(spark, images.expand(spark, f"{base}/a.tiles/t1.png"), "one.png", f"{base}/out")
+    assert (read("one.png") == imgs[1]).all()
+    with pytest.raises(ValueError, match="no tiles"):
+        images.merge(spark, images.expand(spark, f"{base}/none"), "x.png", f"{base}/out")
+    images.write(frame(spark, imgs[0][:5]), names.limit(1).select("image_id", F.lit("short.png").alias("name")), f"{base}/a.tiles")
+    with pytest.raises(ValueError, match="sizes"):
+        images.merge(spark, images.expand(spark, f"{base}/a.tiles"), "x.png", f"{base}/out")
+
+
+def test_training_status_and_bins(spark, pair):
+    rows = spark.createDataFrame([("x", True, 0), ("", True, 0), (None, True, 0), ("x", False, 0), ("x", True, None), ("x", True, 3)], "log string, model boolean, code int")
+    got = [r.s for r in rows.select(tables.training_status(F.col("log"), F.col("model"), F.col("code")).alias("s")).collect()]
+    assert got == [0, 1, 1, 2, 3, 4]
+    assert tables.largest_stage(rows.select(F.lit("MODEL_level0_stage12.mat").alias("name"))).first().nstage == 12
+    df = frame(spark, pair[0])
+    levels = {r.v for r in histogram.equalize(df, 64).collect()}
+    assert len(levels) <= 64 and levels <= {int(k * 255 / 63 + 0.5) for k in range(64)} and max(levels) == 255
+
+
 def test_text_files(spark, tmp_path):
     from rastra.sources import text_files as t
 
