@@ -13,8 +13,8 @@ training texts. Expected counts of the most frequent words are summed to one row
 for each, which the driver gets and broadcasts. Those of all other words are
 kept in a distributed table, dealt by the word's 64-bit hash: a block sends its
 words' counts there and gets their sums back, so that nothing that grows with
-the vocabulary is broadcast. These sums are kept to 16 bits of mantissa, and the
-model's emissions are shares of the sums as kept, so they add up to one. The
+the vocabulary is broadcast. These sums are kept to a thousandth of an octave,
+and the model's emissions are shares of the sums as kept, so they add up to one. The
 states start as the parts of a mixture of unigrams, whose steps read all
 training texts too, from parts that lean to words at random.
 
@@ -48,11 +48,11 @@ HEAD_WORDS, MODEL_WORDS = 150_000, 32_000
 STATES, ROUNDS = 8, 3
 #: Steps of the mixture that the states start from, how far its first parts lean to words (a factor's logarithm), and
 #: the most frequent words, which its parts tell texts apart by.
-GUESS_ROUNDS, LEAN, GUESS_WORDS = 4, 0.5, MODEL_WORDS
+GUESS_ROUNDS, LEAN, GUESS_WORDS = 3, 0.5, MODEL_WORDS
 #: Tokens that the recursions hold at a time, unless one text has more.
-BATCH_TOKENS = 500_000
+BATCH_TOKENS = 250_000
 #: Tokens of a block of texts, unless one text has more, and words (one for each of its blocks) of a part of the table.
-BLOCK_TOKENS, PART_WORDS = 6_000_000, 500_000
+BLOCK_TOKENS, PART_WORDS = 3_000_000, 500_000
 
 
 def tokens_of(data: bytes) -> list[bytes]:
@@ -150,20 +150,24 @@ def _joined(data: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(dtype).ravel()
 
 
-def _rounded(x: np.ndarray) -> np.ndarray:
-    """Single precision with 16 bits of mantissa."""
-    return ((x.astype("<f4").view("<u4") + np.uint32(0x80)) & np.uint32(0xFFFFFF00)).view("<f4")
+def _steps_of(x: np.ndarray) -> np.ndarray:
+    """Numbers from 2^-30 to 2^35 as thousandths of an octave above 2^-30; lesser ones are 0."""
+    with np.errstate(divide="ignore"):
+        octaves = np.log2(x, dtype=np.float32) if x.dtype == np.float32 else np.log2(x)
+    return np.clip(np.rint((octaves + 30) * 1000), 0, 65_535).astype("<u2")
 
 
-def _short(x: np.ndarray) -> bytes:
-    """Numbers that ``_rounded`` gave, in planes of their three bytes."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4)[:, 1:].T.tobytes()
+_VALUES = np.concatenate(([0.0], 2.0 ** (np.arange(1, 65_536) / 1000 - 30)))
+
+
+def _short(steps: np.ndarray) -> bytes:
+    """Steps as all lower bytes and then all upper bytes, which compress better."""
+    return np.ascontiguousarray(steps).view(np.uint8).reshape(-1, 2).T.tobytes()
 
 
 def _unshort(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 3, 4), np.uint8)
-    out[:, 1:] = np.frombuffer(data, np.uint8).reshape(3, -1).T
-    return out.view("<f4").ravel()
+    """The numbers that the steps stand for."""
+    return _VALUES[np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(2, -1).T).view("<u2").ravel()]
 
 
 def indexed(docs: DataFrame, held: Broadcast) -> DataFrame:
@@ -310,9 +314,11 @@ def _with_rest(model: Model, rest: Rest, vocab: np.ndarray, sums: pa.Table | Non
     more = np.ones((len(vocab), k), dtype)
     if rest.mass is not None:
         told = sorted(zip(sums.column("part").to_pylist(), sums.column("sums").to_pylist(), strict=True))
-        met = np.concatenate([np.empty(0, np.float32), *(_unshort(x) for _, x in told)]).reshape(-1, k)
-        count = met.sum(axis=1, keepdims=True, dtype=np.float64)
-        more[order] = (met + 10 * (count + 1) / rest.total) / rest.mass
+        at = 0
+        for _, data in told:
+            met = _unshort(data).reshape(-1, k)
+            more[order[at : at + len(met)]] = (met + 10 * (met.sum(axis=1, keepdims=True) + 1) / rest.total) / rest.mass
+            at += len(met)
     return Model(model.start, model.step, np.concatenate((np.ascontiguousarray(model.emit.T), more)).T), order
 
 
@@ -334,19 +340,22 @@ def _summed(found: DataFrame, k: int) -> DataFrame:
         hashes = [np.frombuffer(x, "<u8") for x in table.column("vocab").to_pylist()]
         counts = np.concatenate([_unshort(x) for x in table.column("sums").to_pylist()]).reshape(-1, k)
         words, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        sums = np.stack([_rounded(np.bincount(at, counts[:, s], len(words))) for s in range(k)], axis=1)
+        sums = _steps_of(np.stack([np.bincount(at, counts[:, s], len(words)) for s in range(k)], axis=1))
         ends = np.cumsum([0, *map(len, hashes)])
         out = [_short(sums[at[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         own = pa.table({"block": table.column("block"), "part": table.column("part"), "sums": pa.array(out, pa.binary()), "mass": pa.nulls(len(out), pa.list_(pa.float64()))})
-        told = [[None], [table.column("part")[0].as_py()], [None], [sums.sum(axis=0, dtype=np.float64).tolist()]]
+        told = [[None], [table.column("part")[0].as_py()], [None], [_VALUES[sums].sum(axis=0).tolist()]]
         return pa.concat_tables([own, pa.table([pa.array(x, t) for x, t in zip(told, own.schema.types, strict=True)], names=own.schema.names)])
 
     sent = found.filter("part is not null").select("block", "part", "vocab", "sums")
     return sent.groupBy("part").applyInArrow(run, "block long, part long, sums binary, mass array<double>")
 
 
-def baum_welch(table: DataFrame, model: Model, unigram: np.ndarray, rest: Rest, sums: DataFrame | None) -> tuple[Model, Rest, DataFrame, str]:
-    """One round over all training texts: the next model, its sums of other words, and the path of these."""
+def baum_welch(table: DataFrame, model: Model, unigram: np.ndarray, rest: Rest, sums: DataFrame | None, path: str | None) -> tuple[Model, Rest, DataFrame, str]:
+    """One round over all training texts: the next model, its sums of other words, and the path of these.
+
+    The sums of the round before, at ``path``, are deleted once they were used.
+    """
     spark = table.sparkSession
     held = spark.sparkContext.broadcast(
         (Model(model.start.astype(np.float32), model.step.astype(np.float32), model.emit.astype(np.float32)), rest)
@@ -362,20 +371,22 @@ def baum_welch(table: DataFrame, model: Model, unigram: np.ndarray, rest: Rest,
         rows = np.vstack([start, step, emitted[:, seen].T])
         parts, begin = np.unique((vocab % np.uint64(held.value[1].parts))[order], return_index=True)
         ends = [*begin.tolist(), len(order)]
-        more, n, m = _rounded(emitted[:, size:].T), len(names), len(parts)
+        more, n, m = _steps_of(emitted[:, size:].T), len(names), len(parts)
         chosen = [order[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         missing = lambda count, kind: pa.nulls(count, kind)
         cols = {"id": pa.concat_arrays([pa.array(names, pa.int64()), missing(m, pa.int64())])}
-        cols |= {f"s{s}": pa.concat_arrays([pa.array(rows[:, s]), missing(m, pa.float64())]) for s in range(k)}
+        cols |= {f"s{s}": pa.concat_arrays([pa.array(rows[:, s].astype(np.float32)), missing(m, pa.float32())]) for s in range(k)}
         cols |= {"block": pa.array(np.full(n + m, own.column("block")[0].as_py())), "part": pa.concat_arrays([missing(n, pa.int64()), pa.array(parts.astype(np.int64))])}
         cols["vocab"] = pa.concat_arrays([missing(n, pa.binary()), pa.array([vocab[c].tobytes() for c in chosen], pa.binary())])
         cols["sums"] = pa.concat_arrays([missing(n, pa.binary()), pa.array([_short(more[c]) for c in chosen], pa.binary())])
         return pa.table(cols)
 
     rows = table.filter("train or key is null").select("block", "ids", "vocab")
-    schema = "id long, " + ", ".join(f"s{s} double" for s in range(k)) + ", block long, part long, vocab binary, sums binary"
-    sent, path = scratch(spark, "sent"), scratch(spark, "sums")
+    schema = "id long, " + ", ".join(f"s{s} float" for s in range(k)) + ", block long, part long, vocab binary, sums binary"
+    before, sent, path = path, scratch(spark, "sent"), scratch(spark, "sums")
     _by_block(rows, sums, run, schema).write.parquet(sent)
+    if before:
+        delete_path(spark, before)
     written = spark.read.schema(schema).parquet(sent)
     found = written.filter("id is not null").groupBy("id").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(k))).toArrow()
     start, step, emitted = np.ones(k), np.full((k, k), 0.1), np.tile(unigram * 10, (k, 1))
@@ -518,12 +529,9 @@ def _score(own: DataFrame, states: int, rounds: int, head_words: int, model_word
     total = float((10 ** head.log_count[: head.words + 1]).sum() + head.class_total.sum())
     unigram = _unigram(head, total)
     words = table.filter("key is null").agg(F.coalesce(F.sum(F.length("vocab")), F.lit(0))).first()[0] // 8
-    model, rest, sums, was = first_guess(table, unigram, states), Rest(1 + words // PART_WORDS, total), None, None
+    model, rest, sums, path = first_guess(table, unigram, states), Rest(1 + words // PART_WORDS, total), None, None
     for _ in range(rounds):
-        model, rest, sums, path = baum_welch(table, model, unigram, rest, sums)
-        if was:
-            delete_path(spark, was)
-        was = path
+        model, rest, sums, path = baum_welch(table, model, unigram, rest, sums, path)
     held = spark.sparkContext.broadcast((model, rest))
     kept = ["key", "doc_id", "train", "n_tokens", "n_known", "log_count"]
 
