@@ -49,8 +49,8 @@ STATES, ROUNDS = 8, 3
 #: Steps of the mixture that the states start from, how far its first parts lean to words (a factor's logarithm), and
 #: the most frequent words, which its parts tell texts apart by.
 GUESS_ROUNDS, LEAN, GUESS_WORDS = 3, 0.5, MODEL_WORDS
-#: Tokens that the recursions hold at a time, unless one text has more.
-BATCH_TOKENS = 250_000
+#: Tokens of texts that the recursions go through side by side, unless one text has more, and those whose emissions are held at a time.
+BATCH_TOKENS, SPELL_TOKENS = 1_000_000, 100_000
 #: Tokens of a block of texts, unless one text has more, and words (one for each of its blocks) of a part of the table.
 BLOCK_TOKENS, PART_WORDS = 3_000_000, 500_000
 
@@ -251,24 +251,36 @@ def _packed(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, n
         yield np.array(took), flat, begin
 
 
-def _forward(model: Model, flat: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward probabilities, emissions and scales of a packed batch."""
-    emit = model.emit.T[flat]
-    alpha, scale = np.empty_like(emit), np.empty(len(flat), emit.dtype)
-    for t in range(len(begin) - 1):
-        lo, hi = begin[t], begin[t + 1]
-        a = emit[lo:hi] * (alpha[begin[t - 1] : begin[t - 1] + hi - lo] @ model.step if t else model.start)
-        s = a.sum(axis=1)
-        scale[lo:hi] = s
-        np.divide(a, s[:, None], out=alpha[lo:hi])
-    return alpha, emit, scale
+def _spells(begin: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of positions, first and last but one, that hold about ``SPELL_TOKENS`` tokens each."""
+    out, at = [], 0
+    while at < len(begin) - 1:
+        stop = max(at + 1, int(np.searchsorted(begin, begin[at] + SPELL_TOKENS)))
+        out.append((at, min(stop, len(begin) - 1)))
+        at = out[-1][1]
+    return out
+
+
+def _forward(model: Model, flat: np.ndarray, begin: np.ndarray, keep: bool) -> tuple[np.ndarray | None, np.ndarray]:
+    """Scaled forward probabilities, if they are to be kept, and scales of a packed batch. Emissions are looked up a spell at a time."""
+    k, dtype = len(model.start), model.emit.dtype
+    alpha, scale, ones, last = np.empty((len(flat), k), dtype) if keep else None, np.empty(len(flat), dtype), np.ones(k, dtype), None
+    for t0, t1 in _spells(begin):
+        emit = model.emit.T[flat[begin[t0] : begin[t1]]]
+        for t in range(t0, t1):
+            lo, hi = begin[t], begin[t + 1]
+            a = emit[lo - begin[t0] : hi - begin[t0]]
+            a *= last[: hi - lo] @ model.step if t else model.start
+            s = np.matmul(a, ones, out=scale[lo:hi])
+            last = np.divide(a, s[:, None], out=alpha[lo:hi] if keep else a)
+    return alpha, scale
 
 
 def log_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """log10 of each text's probability of ids, by the scaled forward recursion."""
     out = np.zeros(len(texts))
     for took, flat, begin in _packed(texts):
-        logs = np.log10(_forward(model, flat, begin)[2])
+        logs = np.log10(_forward(model, flat, begin, False)[1])
         rows = np.arange(len(flat)) - np.repeat(begin[:-1], np.diff(begin))
         out[took] = np.bincount(rows, logs, len(took))
     return out
@@ -278,19 +290,41 @@ def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray,
     """Baum-Welch counts of starts, steps and emissions over texts, and their log10 likelihood."""
     k, size = model.emit.shape
     start, step, emitted, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, size)), 0.0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add() -> None:
+        ids, gammas = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        for s in range(k):
+            emitted[s] += np.bincount(ids, gammas[:, s], size)
+
     for _, flat, begin in _packed(texts):
-        alpha, emit, scale = _forward(model, flat, begin)
+        alpha, scale = _forward(model, flat, begin, True)
         total += float(np.log10(scale.astype(np.float64)).sum())
-        back = np.ones_like(alpha)  # of each position, divided by the later scales
-        for t in range(len(begin) - 2, 0, -1):
-            lo, hi = begin[t], begin[t + 1]
-            here = emit[lo:hi] * back[lo:hi] / scale[lo:hi, None]
-            step += alpha[begin[t - 1] : begin[t - 1] + hi - lo].T @ here * model.step
-            back[begin[t - 1] : begin[t - 1] + hi - lo] = here @ model.step.T
-        gamma = alpha * back
-        start += gamma[: begin[1]].sum(axis=0)
-        for s in range(k):
-            emitted[s] += np.bincount(flat, gamma[:, s], size)
+        passed = np.zeros((k, k))
+        back = np.ones((begin[-1] - begin[-2], k), alpha.dtype)  # of a position, divided by the later scales
+        for t0, t1 in reversed(_spells(begin)):
+            emit = model.emit.T[flat[begin[t0] : begin[t1]]]
+            gamma = np.empty_like(emit)
+            for t in range(t1 - 1, t0 - 1, -1):
+                lo, hi = begin[t], begin[t + 1]
+                here = emit[lo - begin[t0] : hi - begin[t0]]
+                np.multiply(alpha[lo:hi], back, out=gamma[lo - begin[t0] : hi - begin[t0]])
+                if t:
+                    here *= back
+                    here /= scale[lo:hi, None]
+                    before = begin[t - 1]
+                    passed += alpha[before : before + hi - lo].T @ here
+                    back = np.ones((lo - before, k), alpha.dtype)  # a text that ends there has nothing behind it
+                    np.matmul(here, model.step.T, out=back[: hi - lo])
+            if not t0:
+                start += gamma[: begin[1]].sum(axis=0)
+            held.append((flat[begin[t0] : begin[t1]], gamma))
+            if sum(len(x) for x, _ in held) >= 4 * SPELL_TOKENS:  # the sums are as long as the vocabulary, so they are added seldom
+                add()
+        step += passed * model.step
+    if held:
+        add()
     return start, step, emitted, total
 
 
