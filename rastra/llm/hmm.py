@@ -24,6 +24,7 @@ counts of words beyond the broadcast head come by a join on the word.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -50,9 +51,26 @@ STATES, ROUNDS = 8, 3
 #: the most frequent words, which its parts tell texts apart by.
 GUESS_ROUNDS, LEAN, GUESS_WORDS = 3, 0.5, MODEL_WORDS
 #: Tokens of texts that the recursions go through side by side, unless one text has more, and those whose emissions are held at a time.
-BATCH_TOKENS, SPELL_TOKENS = 1_000_000, 100_000
+BATCH_TOKENS, SPELL_TOKENS = 500_000, 100_000
 #: Tokens of a block of texts, unless one text has more, and words (one for each of its blocks) of a part of the table.
 BLOCK_TOKENS, PART_WORDS = 3_000_000, 500_000
+#: Bytes from which an array is mapped by itself, so that it goes back to the system when it is freed.
+MAPPED = 4 << 20
+
+
+def _give_back() -> None:
+    """Return what earlier tasks of this worker have left to the system, and let large arrays be mapped by themselves.
+
+    Workers are used again, and by default the C library keeps freed arrays of up to 32 MB.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, MAPPED)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 2 * MAPPED)  # M_TRIM_THRESHOLD
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def tokens_of(data: bytes) -> list[bytes]:
@@ -154,7 +172,9 @@ def _steps_of(x: np.ndarray) -> np.ndarray:
     """Numbers from 2^-30 to 2^35 as thousandths of an octave above 2^-30; lesser ones are 0."""
     with np.errstate(divide="ignore"):
         octaves = np.log2(x, dtype=np.float32) if x.dtype == np.float32 else np.log2(x)
-    return np.clip(np.rint((octaves + 30) * 1000), 0, 65_535).astype("<u2")
+    octaves += 30
+    octaves *= 1000
+    return np.clip(np.rint(octaves, out=octaves), 0, 65_535, out=octaves).astype("<u2")
 
 
 _VALUES = np.concatenate(([0.0], 2.0 ** (np.arange(1, 65_536) / 1000 - 30)))
@@ -323,13 +343,15 @@ def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray,
             if sum(len(x) for x, _ in held) >= 4 * SPELL_TOKENS:  # the sums are as long as the vocabulary, so they are added seldom
                 add()
         step += passed * model.step
+        del alpha, scale  # before the next batch's are made
     if held:
         add()
     return start, step, emitted, total
 
 
-def _texts(column: pa.Array) -> list[np.ndarray]:
-    return [_joined(x, "<i4") for x in column.to_pylist()]
+def _texts(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """The ids of the texts that there are; the column is not copied on the way."""
+    return [_joined(x.as_buffer(), "<i4") for x in column if x.is_valid]
 
 
 @dataclass
@@ -371,11 +393,14 @@ def _summed(found: DataFrame, k: int) -> DataFrame:
     """
 
     def run(table: pa.Table) -> pa.Table:
-        hashes = [np.frombuffer(x, "<u8") for x in table.column("vocab").to_pylist()]
-        counts = np.concatenate([_unshort(x) for x in table.column("sums").to_pylist()]).reshape(-1, k)
+        _give_back()
+        hashes = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("vocab")]
+        ends = np.cumsum([0, *map(len, hashes)])
+        counts = np.empty((ends[-1], k))
+        for a, b, x in zip(ends[:-1], ends[1:], table.column("sums"), strict=True):
+            counts[a:b] = _unshort(x.as_buffer()).reshape(-1, k)
         words, at = np.unique(np.concatenate(hashes), return_inverse=True)
         sums = _steps_of(np.stack([np.bincount(at, counts[:, s], len(words)) for s in range(k)], axis=1))
-        ends = np.cumsum([0, *map(len, hashes)])
         out = [_short(sums[at[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         own = pa.table({"block": table.column("block"), "part": table.column("part"), "sums": pa.array(out, pa.binary()), "mass": pa.nulls(len(out), pa.list_(pa.float64()))})
         told = [[None], [table.column("part")[0].as_py()], [None], [_VALUES[sums].sum(axis=0).tolist()]]
@@ -397,9 +422,10 @@ def baum_welch(table: DataFrame, model: Model, unigram: np.ndarray, rest: Rest,
     k, size = model.emit.shape
 
     def run(own: pa.Table, told: pa.Table | None) -> pa.Table:
+        _give_back()
         vocab = np.frombuffer(own.column("vocab").drop_null()[0].as_py(), "<u8")
         full, order = _with_rest(*held.value, vocab, told)
-        start, step, emitted, _ = expected_counts(full, _texts(own.column("ids").drop_null()))
+        start, step, emitted, _ = expected_counts(full, _texts(own.column("ids")))
         seen = np.flatnonzero(emitted[:, :size].any(axis=0))
         names = np.concatenate([[-1], np.arange(-10, -10 - k, -1), seen])
         rows = np.vstack([start, step, emitted[:, seen].T])
@@ -466,6 +492,7 @@ def _mixture_step(table: DataFrame, weight: np.ndarray, logs: np.ndarray, place:
             counts[s] += np.bincount(flat, np.repeat(own[:, s], lengths), size + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back()
         counts, met = np.zeros((parts, size + 1)), np.zeros(parts)
         for b in batches:
             texts, n = [], 0
@@ -570,6 +597,7 @@ def _score(own: DataFrame, states: int, rounds: int, head_words: int, model_word
     kept = ["key", "doc_id", "train", "n_tokens", "n_known", "log_count"]
 
     def run(texts: pa.Table, told: pa.Table | None) -> pa.Table:
+        _give_back()
         vocab = np.frombuffer(texts.column("vocab").drop_null()[0].as_py(), "<u8")
         full, _ = _with_rest(*held.value, vocab, told)
         texts = texts.filter(texts.column("key").is_valid())

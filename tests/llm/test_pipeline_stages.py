@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -493,6 +495,21 @@ def test_forward_and_counts():
         assert np.isclose((more - got.sum()) * np.log(10) / eps, emitted[s, x], rtol=1e-3)
 
 
+def test_counts_of_a_block_take_bounded_memory():
+    """Texts are read without a copy of their column, and the recursions hold half a million tokens' probabilities, not a block's."""
+    rng = np.random.default_rng(5)
+    model = random_model(rng, 8, 500)
+    model = hmm.Model(*(x.astype(np.float32) for x in (model.start, model.step, model.emit)))
+    lengths = [400] * 3000
+    column = pa.chunked_array([pa.array([hmm._planes(rng.integers(0, 500, n).astype("<u4")) for n in lengths] + [None], pa.binary())])
+    tracemalloc.start()
+    _, _, emitted, _ = hmm.expected_counts(model, hmm._texts(column))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isclose(emitted.sum(), sum(lengths), rtol=1e-4)
+    assert peak < 65e6, f"{peak / 1e6:.0f} MB for {sum(lengths)} tokens"
+
+
 def base_scores(rows):
     counts = Counter()
     for t, train in rows:
